@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, chunk, cooccur, mix, neardup, pack
+from . import canon, chunk, cooccur, mix, neardup, pack, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 ITEMS = (("resume_document", "doc_id"), ("raw_jd", "jd_id"))
@@ -27,6 +27,28 @@ def raw_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def sample(df: DataFrame, column: str, rows: int) -> list[str]:
+    """At most ``rows`` distinct values of a column, the same whatever the order of the rows."""
+    values = df.select(F.col(column).alias("v")).filter("v IS NOT NULL").distinct()
+    return sorted(r["v"] for r in values.orderBy(F.xxhash64("v"), "v").limit(rows).collect())
+
+
+def p2_spans(spark, sf):
+    """The model is trained on line patterns filled from bounded samples of names, places and skill names."""
+    n = pii.SAMPLE_ROWS
+    people = table(spark, sf, "candidates")
+    model = pii.train(sample(people, "full_name", n), sample(people, "location", n), sample(table(spark, sf, "skills"), "canonical_name", n))
+    return pii.find_pii(raw_items(spark, sf), ["src_table", "item_key"], "raw_text", model)
+
+
+def p2_found(spark, sf):
+    return pii.found_values(p2_spans(spark, sf), ["src_table", "item_key"])
+
+
+def p2_scrubbed(spark, sf):
+    return pii.scrubbed(p2_spans(spark, sf), ["src_table", "item_key"])
+
+
 def p3_links(spark, sf):
     return neardup.near_duplicates(table(spark, sf, "raw_jd"), "jd_id", "raw_text", k=3, threshold=0.7)
 
@@ -104,7 +126,7 @@ def p8_shares(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p7_pack, p7_containers, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_scrubbed, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p7_pack, p7_containers, p8_mix, p8_shares)}
 
 
 _BASKETS = r"""
