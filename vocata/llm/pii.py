@@ -4,9 +4,9 @@ Words, numbers and signs are labelled begin / inside / outside of five types. Fe
 are word shapes, affixes and identities of the token, of its neighbours and of the chunks
 (runs of non-spaces) around it. The model is trained from a small labelled table that
 :func:`labelled_lines` writes from line patterns and bounded samples of names and places.
-Decoding is Viterbi in numpy batches over the windows that can hold anything: a window of
-a few tokens is skipped only if an upper bound on the score of every span that touches it
-shows that the all-outside labelling wins, so the result is that of decoding everything.
+Decoding is Viterbi in numpy batches over the runs of tokens that can hold anything: a
+token is skipped only if an upper bound on the score of every span that could touch it
+shows that staying outside wins, so the result is that of decoding everything.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 #: Rows taken from each filler table for training, and training documents written.
 SAMPLE_ROWS, TRAINING_DOCS = 2000, 1800
-#: Tokens per window of the search for what can be left out.
-WINDOW = 8
 _SPACE = r"[^\S\r\n\x0b\x0c\x85  ]"
 _TOKEN = re.compile(rf"{_SPACE}*(?:\r\n|[\r\n\x0b\x0c\x85  ]|[^\W\d_]+|\d+|\S)")
 _BREAK = "\r\n\x0b\x0c\x85  "
@@ -73,8 +71,10 @@ class Forms:
         return i
 
     def of(self, toks: list[str]) -> np.ndarray:
-        get, add = self.code.get, self.add
-        return np.fromiter((i if (i := get(t)) is not None else add(t) for t in toks), np.int64, len(toks))
+        codes = list(map(self.code.get, toks))
+        if None in codes:
+            codes = [self.add(t) if i is None else i for i, t in zip(codes, toks)]
+        return np.array(codes, np.int32)
 
 
 class Document:
@@ -109,7 +109,7 @@ class Document:
         heads = lambda d: self.form[self.head[np.clip(chunk + d, 0, last)]]
         at = np.arange(n)
         own = [self.form[np.clip(at + d, 0, n - 1)] for d in (0, -1, 1, -2, 2, -3, 3)]
-        flag = (flags[chunk] + 8 * head).astype(np.int64) + 1
+        flag = (flags[chunk] + 8 * head).astype(np.int32) + 1
         self.slots = np.stack([*own, flag, *(heads(d) for d in (1, 2, 3, 4, -1, -2, 0))])
 
 
@@ -329,7 +329,9 @@ class Finder:
         t, stay = model.trans, model.trans[0, 0]
         self.begin = t[:, 1::2].max(axis=0) - stay
         self.go_on = np.maximum(np.diag(t[1::2, 2::2]), np.diag(t[2::2, 2::2])) - stay
-        self.leave = np.maximum(0, np.maximum(t[1::2, 0], t[2::2, 0]) - stay)
+        ends = np.stack([t[1::2, 0], t[2::2, 0]]) - stay
+        self.leave = np.maximum(0, ends.max(axis=0))
+        self.slack = self.leave - np.minimum(0, ends.min(axis=0)) + 1e-3
 
     def emissions(self, doc: Document) -> np.ndarray:
         if len(self.forms.keys) > self.known:
@@ -342,27 +344,25 @@ class Finder:
             e += np.take(self.table[s], doc.slots[s], axis=0, out=more, mode="clip")
         return e
 
-    def windows(self, e: np.ndarray, inner: np.ndarray) -> np.ndarray:
-        """Tokens that a span of positive gain could touch.
+    def live(self, e: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Tokens that a span of positive gain can touch.
 
-        A span gains at most its best begin plus all positive going-on scores from there, over
-        as many windows as keep a positive one; windows that no such span reaches are left out.
+        The most that a span begun at a token gains by going on is a maximum over suffix
+        sums, found for all tokens at once. A span that gains nothing even so is not part of
+        the best labelling, and a best span holds no token from which going on only loses.
         """
-        d = e[:, 1:] - e[:, :1]
+        d = (e[:, 1:] - e[:, :1]).astype(np.float64)
         d[~inner] = crf.FORBIDDEN
-        heads = np.arange(0, len(e), WINDOW)
-        best = np.maximum.reduceat(d[:, 0::2] + self.begin, heads)
-        on = np.add.reduceat(np.maximum(0, d[:, 1::2] + self.go_on), heads)
-        total = on[::-1].cumsum(axis=0)[::-1]
-        stops = on <= 0
-        after = np.maximum.accumulate(np.where(stops, total, 0)[::-1])[::-1]
-        chain = np.r_[(total - after)[1:], np.zeros((1, on.shape[1]))]
-        may = best + on + chain + self.leave + 1e-3 > 0
-        number = np.arange(len(heads))[:, None]
-        came = np.maximum.accumulate(np.where(may, number, -1))
-        broke = np.maximum.accumulate(np.where(stops, number, 0))
-        live = (may | (~stops & (came >= broke))).any(axis=1)
-        return np.repeat(live, WINDOW)[: len(e)] & inner
+        on = d[:, 1::2] + self.go_on
+        upto = on.cumsum(axis=0)
+        ahead = np.maximum.accumulate(upto[::-1])[::-1] - upto + on  # best sum from here to any later token
+        more = np.r_[np.maximum(0, ahead[1:]), np.zeros((1, on.shape[1]))]
+        may = d[:, 0::2] + self.begin + more + self.leave + 1e-3 > 0
+        stops = ahead < -self.slack
+        at = np.arange(len(e), dtype=np.int32)[:, None]
+        came = np.maximum.accumulate(np.where(may, at, -1))
+        broke = np.maximum.accumulate(np.where(stops, at, 0))
+        return (may | (~stops & (came >= broke))).any(axis=1) & inner
 
     def spans(self, texts: Sequence[str]) -> list[list[tuple[int, int, str]]]:
         """``(start, end, type)`` of the personal information in each text, in order."""
@@ -373,7 +373,7 @@ class Finder:
         if not doc.inner.any():
             return out
         e = self.emissions(doc)
-        active = self.windows(e, doc.inner)
+        active = self.live(e, doc.inner)
         if not active.any():
             return out
         starts = np.flatnonzero(active & ~np.r_[False, active[:-1]])
@@ -433,8 +433,8 @@ def _decode(model, text: str, out: Sequence[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(model.value)
         for pdf in batches:
-            for at in range(0, len(pdf), 400):
-                part = pdf.iloc[at : at + 400]
+            for at in range(0, len(pdf), 800):
+                part = pdf.iloc[at : at + 800]
                 found = finder.spans(part[text].tolist())
                 yield part.assign(spans=[[{"start": a, "end": b, "pii_type": k} for a, b, k in x] for x in found])[list(out)]
 
