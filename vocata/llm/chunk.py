@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"\s+|\S+\s*")
 _SECTION = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:(?:\r\n|\r|\n)[ \t]*)+")
-_LINE = re.compile(r"\r\n|\r|\n|\x0b|\x0c| | |\x85")
+_LINE = re.compile(r"\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]")
 _SENTENCE = re.compile(r"[.!?…。！？]+[\"'”’)\]]*\s+|[。！？]")
 KINDS = ("section", "line", "sentence", "token", "hard", "end")
 

@@ -26,9 +26,9 @@ TYPES = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 #: Rows taken from each filler table for training, and training documents written.
 SAMPLE_ROWS, TRAINING_DOCS = 2000, 1800
-_SPACE = r"[^\S\r\n\x0b\x0c\x85  ]"
-_TOKEN = re.compile(rf"{_SPACE}*(?:\r\n|[\r\n\x0b\x0c\x85  ]|[^\W\d_]+|\d+|\S)")
-_BREAK = "\r\n\x0b\x0c\x85  "
+_SPACE = r"[^\S\r\n\x0b\x0c\x85\u2028\u2029]"
+_TOKEN = re.compile(rf"{_SPACE}*(?:\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]|[^\W\d_]+|\d+|\S)")
+_BREAK = "\r\n\x0b\x0c\x85\u2028\u2029"
 _EDGE, _FLAGS = "\x00edge", "\x00flag"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import canon, chunk, cooccur, mix, neardup, pack, pii
+from . import canon, chunk, cooccur, langid, mix, neardup, pack, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 ITEMS = (("resume_document", "doc_id"), ("raw_jd", "jd_id"))
@@ -125,8 +125,30 @@ def p8_shares(spark, sf):
     return _mixed(spark, sf)[1]
 
 
+def p9_tagged(spark, sf):
+    """The model is trained on a bounded sample of the documents whose label names a language."""
+    docs = table(spark, sf, "documents")
+    labelled = docs.select("doc_id", F.substring("text", 1, langid.SAMPLE_CHARS).alias("text"), langid.label_language(F.col("lang")).alias("lang")).dropna().distinct()
+    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(langid.SAMPLE_DOCS).collect()
+    model = langid.train(tuple((r["text"], r["lang"]) for r in rows))
+    return langid.tag(docs, "doc_id", "text", "lang", model)
+
+
+def p9_found(spark, sf):
+    tagged = p9_tagged(spark, sf).filter("lang IS NOT NULL AND doc_id IS NOT NULL")
+    wrong = F.array(F.struct(F.lit(-1).cast("bigint").alias("seg_start"), F.col("lang")))
+    none = F.array().cast("array<struct<seg_start:bigint,lang:string>>")
+    mixed = F.transform("runs", lambda r: F.struct(r["start"].cast("bigint").alias("seg_start"), r["lang"].alias("lang")))
+    said = F.concat(F.when(F.col("label_lang").eqNullSafe(F.col("lang")), none).otherwise(wrong), F.when(F.size("runs") > 1, mixed).otherwise(none))
+    return tagged.select("doc_id", F.explode(said).alias("s")).select("doc_id", "s.*").distinct()
+
+
+def p9_languages(spark, sf):
+    return p9_tagged(spark, sf).select("doc_id", "label_lang", "lang", F.round("confidence", 4).alias("confidence"), F.size("runs").alias("n_runs"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scrubbed, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p7_pack, p7_containers, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_scrubbed, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p7_pack, p7_containers, p8_mix, p8_shares, p9_found, p9_languages)}
 
 
 _BASKETS = r"""
