@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general
+from . import general, star
 
-MODULES = (general,)
+MODULES = (general, star)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return general.p1_report(spark, sf)
+    return star.skill_popularity(spark, sf)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
