@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general, star
+from . import general, pipeline, star
 
-MODULES = (general, star)
+MODULES = (general, star, pipeline)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
