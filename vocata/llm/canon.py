@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, small
+from ..session import cut, parallelism, small
 
 # Letters of other scripts, accents and digits that stand for a Latin letter.
 LOOKALIKES = (
@@ -128,7 +128,9 @@ def map_to_canonical(values: DataFrame, value: str, entries: DataFrame, coverage
     spelt = spelt.withColumn("b", bare).select(
         "value", F.concat(F.transform("t", lambda x: F.struct(F.rtrim(x, F.lit(".")).alias("token"), F.endswith(x, F.lit(".")).alias("dotted"), F.lit(False).alias("glued"))), F.transform(glued, lambda x: F.struct(x.alias("token"), F.lit(False).alias("dotted"), F.lit(True).alias("glued")))).alias("w")
     ).select("value", F.explode("w").alias("w")).select("value", "w.*")
-    repaired = repair_tokens(spelt.select("token", "dotted").distinct(), vocab.select("vtoken")).join(small(vocab), "vtoken")
+    # few bytes but much work for each token: spread them over all tasks, whatever their size
+    tokens = spelt.select("token", "dotted").distinct().repartition(parallelism(typed))
+    repaired = repair_tokens(tokens, vocab.select("vtoken")).join(small(vocab), "vtoken")
     best = repaired.groupBy("token", "dotted").agg(F.collect_list(F.struct("vtoken", "sim")).alias("cands"), F.max_by("w", F.struct("sim", "w")).alias("wq"))
     best = cut(best)  # vocabulary tokens near one token are at most the reference vocabulary
     known = spelt.join(small(best), ["token", "dotted"], "left")
