@@ -16,8 +16,8 @@ def tfidf_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
     package's own.
     """
     docs = left.select(F.concat(F.lit("l:"), F.col("id").cast("string")).alias("d"), "term").unionByName(right.select(F.concat(F.lit("r:"), F.col("id").cast("string")).alias("d"), "term")).distinct()
-    n = docs.agg(F.countDistinct("d").alias("n"))
-    idf = docs.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", F.log(1 + F.col("n") / F.col("df")).alias("w"))  # one row
+    n = docs.select("d").distinct().count()
+    idf = docs.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log(1 + n / F.col("df")).alias("w"))
     weigh = lambda df: df.distinct().join(small(idf), "term")
     lw, rw = weigh(left), weigh(right)
     norm = lambda df: df.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
