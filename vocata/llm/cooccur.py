@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import cut, small
 
 #: Distinct (item, neighbour) entries that a task holds before it emits its stripes.
 HELD = 2_000_000
@@ -96,19 +96,19 @@ def cooccurrence(baskets: DataFrame) -> DataFrame:
     ``baskets`` is ``(record, items array<string>)`` with distinct items, as
     :func:`latest_baskets` makes it. No pair is dropped; an empty table gives no rows.
     """
+    baskets = cut(baskets.select("items"))
     stripes = baskets.select("items").mapInPandas(_stripes, _STRIPE)
     entry = stripes.select("item", F.explode(F.arrays_zip("neighbours", "counts")).alias("e")).select(
         F.least("item", "e.neighbours").alias("item_a"), F.greatest("item", "e.neighbours").alias("item_b"), F.col("e.counts").alias("n")
     )
-    merged = entry.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab"))
+    merged = cut(entry.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab")))
     single = merged.filter("item_a = item_b").select(F.col("item_a").alias("item"), F.col("n_ab").alias("n_item"))
-    total = baskets.agg(F.count("*").alias("n_records"))
     single = small(single)
     return (
         merged.filter("item_a < item_b")
         .join(single.withColumnsRenamed({"item": "item_a", "n_item": "n_a"}), "item_a")
         .join(single.withColumnsRenamed({"item": "item_b", "n_item": "n_b"}), "item_b")
-        .crossJoin(F.broadcast(total))  # one row
+        .withColumn("n_records", F.lit(baskets.count()))
         .withColumn("lift", F.col("n_ab") * F.col("n_records") / (F.col("n_a") * F.col("n_b")))
         .withColumn("llr", llr(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n_records")))
     )

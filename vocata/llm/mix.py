@@ -93,15 +93,14 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 0, block_tokens: int =
     )
     chosen = cut(texts.join(taken, ["source", "block"]).select("doc_id", "source", "n_tokens", "repeats"))
     got = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
-    whole = got.agg(F.sum("tokens").alias("whole"))
+    whole = got.agg(F.sum("tokens").alias("whole")).first()["whole"]
     note = F.when(F.col("target_share").isNull(), "no target").when(F.coalesce("available_tokens", F.lit(0)) == 0, "no texts").when(F.col("aim").isNull(), "not usable")
     shares = (
         wanted.join(totals.select("source", F.col("have").alias("available_tokens")), "source", "full")
         .join(setting.select("source", "aim"), "source", "left")
         .join(got, "source", "left")
-        .join(F.broadcast(whole))
         .select(
-            "source", "target_share", F.col("aim").alias("aim_share"), (F.coalesce("tokens", F.lit(0)) / F.col("whole")).alias("actual_share"),
+            "source", "target_share", F.col("aim").alias("aim_share"), (F.coalesce("tokens", F.lit(0)) / F.lit(whole).cast("double")).alias("actual_share"),
             F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), "max_repeats", note.alias("note"),
         )
     )
