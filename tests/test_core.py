@@ -79,7 +79,9 @@ def test_text_functions(spark):
     assert one(spark, " a \t b \n\n c", t.collapse_ws) == "a b\nc"
     assert one(spark, "Café ﬁne", t.ascii_fold) == "Cafe fine"
     assert one(spark, None, t.clean_document) is None and one(spark, "", t.clean_document) == ""
-    s = one(spark, "mail a@b.com or a@b.com, 123-45-6789, http://x.y/z", lambda c: t.scrub(c)[0])
+    got = t.scrub(spark.createDataFrame([("mail a@b.com or a@b.com, 123-45-6789, http://x.y/z",), (None,), ("",)], "t string"), "t").collect()
+    s = got[0]["scrubbed"]
+    assert (got[0]["email"], got[0]["ssn"], got[0]["url"], got[1]["scrubbed"], got[1]["email"], got[2]["scrubbed"]) == (2, 1, 1, None, 0, "")
     assert "a@b.com" not in s and s.count("@example.com") == 2 and "redacted_ssn" in s and "https://example.com/page_" in s
     assert str(one(spark, "Jul 2017", t.month_date)) == "2017-07-01" and str(one(spark, "2017", t.month_date)) == "2017-01-01" and one(spark, "x", t.month_date) is None
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Typographic signs and what they become, bullet signs.
@@ -69,11 +69,12 @@ def clean_block(text: Column, fold: bool = True) -> Column:
     return ascii_fold(out) if fold else out
 
 
-def scrub(text: Column) -> tuple[Column, dict[str, Column]]:
-    """``(scrubbed text, count per type)``: each pattern runs on what the one before left.
+def scrub(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``scrubbed`` and a count per type: each pattern runs on what the one before left.
 
     Addresses, numbers and links get a stand-in made from a digest of the match, so equal
-    values stay equal; a null text stays null with counts of 0.
+    values stay equal; a null text stays null with counts of 0. Each step is a column of its
+    own, so no pattern runs twice on a text.
     """
     digest = lambda x, n: F.substring(F.sha1(x), 1, n)
     instead = {
@@ -83,13 +84,12 @@ def scrub(text: Column) -> tuple[Column, dict[str, Column]]:
         "url": lambda x: F.concat(F.lit("https://example.com/page_"), digest(x, 6)),
         "phone": lambda x: F.concat(F.lit("+1-555-"), digest(x, 3), F.lit("-0000")),
     }
-    counts = {}
+    df = df.withColumn("scrubbed", F.col(text))
     for kind, pattern in SCRUB:
-        found, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-        counts[kind] = F.coalesce(F.size(found), F.lit(0))
-        counts[kind] = F.when(text.isNull(), 0).otherwise(counts[kind])
-        text = F.array_join(F.zip_with(rest, F.transform(found, instead[kind]), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
-    return text, counts
+        df = df.withColumn("_found", F.regexp_extract_all("scrubbed", F.lit(pattern), F.lit(0))).withColumn("_rest", F.split("scrubbed", pattern, -1))
+        merged = F.array_join(F.zip_with("_rest", F.transform("_found", instead[kind]), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
+        df = df.withColumns({"scrubbed": merged, kind: F.when(F.col("_found").isNull(), 0).otherwise(F.size("_found"))})
+    return df.drop("_found", "_rest")
 
 
 def content_hash(key: Column) -> Column:

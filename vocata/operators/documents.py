@@ -32,33 +32,43 @@ def document_lines(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return out.withColumn("kind", block_kind(F.col("text"), F.lit(None).cast("string")))
 
 
-def canonical_section(label: Column) -> Column:
-    """Section that a heading names, else null; a label of the list decides before any part of one."""
-    norm = x.strip(F.regexp_replace(F.regexp_replace(F.lower(x.strip(label)), r":+$", ""), r"\.+$", ""))
-    listed = F.lit(None).cast("string")
-    part = F.lit(None).cast("string")
+def _named(norm: Column) -> Column:
+    """Section that a normalised heading names, else null; a label of the list decides before any part of one."""
+    listed, part = {}, F.lit(None).cast("string")
+    for label in SECTION_LABELS:
+        for c in SECTIONS:
+            if c in label or label in c:
+                listed[label] = c
+                break
     for c in reversed(SECTIONS):
-        listed = F.when(norm.contains(c) | F.lit(c).contains(norm), c).otherwise(listed)
         part = F.when(norm.contains(c), c).otherwise(part)
-    return F.when(norm == "", None).when(norm.isin(*SECTION_LABELS), listed).otherwise(part)
+    known = F.create_map(*[F.lit(v) for kv in listed.items() for v in kv])
+    return F.when(norm == "", None).when(norm.isin(*SECTION_LABELS), F.try_element_at(known, norm)).otherwise(part)
+
+
+def _sections(rows: DataFrame, norm: Column, mark: Column) -> DataFrame:
+    """Carries the mark of the last heading over the lines after it and drops the headings.
+
+    The normalised text is a column of its own, so its patterns run once a line.
+    """
+    w = W.partitionBy("doc_id").orderBy("pos")
+    marked = rows.withColumn("_norm", norm).withColumn("_m", mark)
+    return marked.withColumn("section", F.coalesce(F.last("_m", ignorenulls=True).over(w), F.lit("header"))).filter("_m IS NULL").drop("_m", "_norm")
 
 
 def segment(rows: DataFrame) -> DataFrame:
     """Adds ``section`` to resume lines and drops the headings; lines before any are ``header``."""
-    canon = canonical_section(F.col("text"))
-    mark = F.when((F.col("kind") == "heading") & canon.isNull(), F.concat(F.lit("other::"), F.lower(x.strip(F.col("text"))))).otherwise(canon)
-    w = W.partitionBy("doc_id").orderBy("pos")
-    return rows.withColumn("_m", mark).withColumn("section", F.coalesce(F.last("_m", ignorenulls=True).over(w), F.lit("header"))).filter("_m IS NULL").drop("_m")
+    norm = x.strip(F.regexp_replace(F.lower("text"), r"(?U)\s*\.*:*\s*$", ""))
+    named = _named(F.col("_norm"))
+    mark = F.coalesce(named, F.when(F.col("kind") == "heading", F.concat(F.lit("other::"), F.lower(x.strip(F.col("text"))))))
+    return _sections(rows, norm, mark)
 
 
 def segment_jd(rows: DataFrame) -> DataFrame:
     """Adds ``section`` to advert lines by the exact heading labels and drops the headings."""
-    norm = F.lower(x.strip(F.regexp_replace(x.strip(F.col("text")), r":+$", "")))
-    mark = F.lit(None).cast("string")
-    for label, section in JD_LABELS.items():
-        mark = F.when(norm == label, section).otherwise(mark)
-    w = W.partitionBy("doc_id").orderBy("pos")
-    return rows.withColumn("_m", mark).withColumn("section", F.coalesce(F.last("_m", ignorenulls=True).over(w), F.lit("header"))).filter("_m IS NULL").drop("_m")
+    norm = F.lower(x.strip(F.regexp_replace(F.col("text"), r"(?U)\s*:*\s*$", "")))
+    known = F.create_map(*[F.lit(v) for kv in JD_LABELS.items() for v in kv])
+    return _sections(rows, norm, F.try_element_at(known, F.col("_norm")))
 
 
 def skill_index(skills: DataFrame, aliases: DataFrame) -> DataFrame:

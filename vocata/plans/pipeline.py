@@ -51,11 +51,11 @@ def doc_lines(s, sf):
 
 
 def scrub_pii(s, sf):
-    return _texts(s, sf).select("doc_id", t.scrub(F.col("raw_text"))[0].alias("scrubbed"))
+    return t.scrub(_texts(s, sf), "raw_text").select("doc_id", "scrubbed")
 
 
 def scrub_pii_counts(s, sf):
-    return _texts(s, sf).select("doc_id", *[c.alias(k) for k, c in t.scrub(F.col("raw_text"))[1].items()])
+    return t.scrub(_texts(s, sf), "raw_text").select("doc_id", *[k for k, _ in t.SCRUB])
 
 
 def segment_sections(s, sf):
