@@ -108,6 +108,15 @@ def test_near_duplicates_brute_force(spark, hot):
     assert all(g[a] == g[b] for a, b in want) and g["s1"] == g["s2"] and len({g["a0"], g["a2"]}) == 2
 
 
+@pytest.mark.parametrize("chunk", [(), (3,)])
+def test_one_shared_block_is_enough_at_any_size(spark, chunk):
+    # all 12 share block 1 and no other; 99 has another sketch, 7 comes twice, 50 and 51 share a small block
+    far, near = (-1, -1), (5, 9)
+    fp = [(c, *near, [1, 1000 + c]) for c in (*range(11), 7)] + [(99, *far, [1, 1099]), (50, *near, [2, 1050]), (51, *near, [2, 1051])]
+    got = neardup.candidates(spark.createDataFrame(fp, "cls long, hi long, lo long, blocks array<long>"), 3, *chunk)
+    assert rows(got) == sorted([*itertools.combinations(range(11), 2), (50, 51)], key=repr)
+
+
 def test_near_duplicates_empty(spark):
     members, links = neardup.near_duplicates(spark.createDataFrame([], "id string, t string"), "id", "t")
     assert neardup.linked_items(members, links).count() == 0

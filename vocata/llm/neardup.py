@@ -25,8 +25,10 @@ from ..session import cut, small
 BLOCKS, SYMBOLS = 40, 6
 #: A sketch bit differs with probability (1 - J) / 2: at J = 0.7 that is 19 of 128, standard deviation 4.
 MAX_DISTANCE = 36
-#: Members of a block that one task pairs up; larger blocks are split first.
+#: Classes of a block that are paired without a look at their sketches; larger blocks are split into tasks.
 HOT = 200
+#: Members of a large block that a task compares with as many others.
+CHUNK = 2000
 #: Narrow id sets up to this many rows are broadcast, after a count.
 ID_ROWS = 1_000_000
 _WORD = re.compile(r"\w+")
@@ -115,26 +117,44 @@ def _pairs_of(groups: DataFrame) -> DataFrame:
     )
 
 
-def _split_large(rows: DataFrame, sizes: DataFrame, hot: int) -> DataFrame:
-    """Pairs within groups ``(key, cls)`` above the bound: a triangle of bounded tasks.
-
-    Members are hashed into chunks of about ``hot``, and each pair of chunks is a task of its
-    own, so the work of one group, however large, is spread and none of its pairs is lost.
+def _within(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Pairs a < b of one task of :func:`_split_large` whose sketches differ in few enough bits."""
+    _, i, j = key
+    left = pdf[pdf["c"] == i]
+    right = left if i == j else pdf[pdf["c"] == j]
+    x, y = left["cls"].to_numpy(), right["cls"].to_numpy()
+    xs, ys = left[["hi", "lo"]].to_numpy(), right[["hi", "lo"]].to_numpy()
+    found = []
+    for at in range(0, len(x), 256):  # a slice at a time, so that the matrix of distances stays small
+        part = xs[at : at + 256, None]
+        bits = np.bitwise_count((part[..., 0] ^ ys[:, 0]).view(np.uint64)) + np.bitwise_count((part[..., 1] ^ ys[:, 1]).view(np.uint64))
+        u, v = np.nonzero(bits <= MAX_DISTANCE)
+        u, v = x[at + u], y[v]
+        keep = u < v if i == j else u != v
+        found.append((np.minimum(u, v)[keep], np.maximum(u, v)[keep]))
+    return pd.DataFrame({"a": np.concatenate([f[0] for f in found] or [x]), "b": np.concatenate([f[1] for f in found] or [x])})
+
+
+def _split_large(rows: DataFrame, sizes: DataFrame, chunk: int) -> DataFrame:
+    """Pairs within groups ``(key, cls, hi, lo)`` of the sizes given: a triangle of bounded tasks.
+
+    Members are hashed into chunks of about ``chunk``, and each pair of chunks is a task of
+    its own that compares all its pairs by their sketches, so the work of one group, however
+    large, is spread and none of its pairs is lost.
     """
-    m = F.ceil(F.col("count") / hot).cast("int")
+    m = F.ceil(F.col("count") / chunk).cast("int")
     chunked = rows.join(small(sizes), "key").withColumn("m", m).withColumn("c", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("m")).cast("int"))
     both = chunked.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("m") - 1))).select(
-        "key", "cls", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")
+        "key", "cls", "hi", "lo", "c", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j")
     )
-    return _pairs_of(both.groupBy("key", "i", "j").agg(F.collect_set("cls").alias("members")))
+    return both.groupBy("key", "i", "j").applyInPandas(_within, "a bigint, b bigint")
 
 
-def candidates(fp: DataFrame, hot: int = HOT) -> DataFrame:
+def candidates(fp: DataFrame, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """Distinct pairs ``(a, b)`` of classes that share a block.
 
-    In a block of more than ``hot`` classes a pair must share a second block as well (near
-    duplicates share several); what is still too large then is paired by a triangle of
-    bounded tasks.
+    Blocks of more than ``hot`` classes are paired by a triangle of bounded tasks, which
+    leave out the pairs that the sketch rules out; one shared block is enough at any size.
     """
     rows = fp.select(F.explode("blocks").alias("key"), "cls")
     sizes = rows.groupBy("key").count().filter(F.col("count") > hot)
@@ -143,13 +163,8 @@ def candidates(fp: DataFrame, hot: int = HOT) -> DataFrame:
         return _pairs_of(rows.groupBy("key").agg(F.collect_set("cls").alias("members")).filter("size(members) > 1")).distinct()
     keys = small(sizes.select("key"))
     calm = _pairs_of(rows.join(keys, "key", "left_anti").groupBy("key").agg(F.collect_set("cls").alias("members")).filter("size(members) > 1"))
-    inside = rows.join(keys, "key", "left_semi")
-    finer = inside.join(fp.select("cls", "blocks"), "cls").select("cls", "key", F.explode("blocks").alias("other")).filter("key != other")
-    finer = cut(finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "cls").distinct())
-    again = finer.groupBy("key").count()
-    large = cut(again.filter(F.col("count") > hot))
-    fine = _pairs_of(finer.join(small(large.select("key")), "key", "left_anti").groupBy("key").agg(F.collect_set("cls").alias("members")).filter("size(members) > 1"))
-    return calm.unionByName(fine).unionByName(_split_large(finer, large, hot)).distinct()
+    inside = fp.select(F.explode("blocks").alias("key"), "cls", "hi", "lo").join(keys, "key", "left_semi").distinct()
+    return calm.unionByName(_split_large(inside, sizes, chunk)).distinct()
 
 
 def _similarity(k: int, threshold: float):
