@@ -11,6 +11,8 @@ from vocata.functions import text as t
 from vocata.operators import documents as d
 from vocata.operators import evaluate, merge
 from vocata.operators.references import orphan_references, orphan_report, target_state
+from vocata.plans import pipeline
+from vocata.session import table
 from vocata.sources import readers
 from vocata.streaming import intake
 
@@ -69,6 +71,13 @@ def test_merges(spark):
     assert dict(rows(merge.flip_status(st, ids(1, 3), ids(4), "k"))) == {1: "parsed", 2: "pending", 3: "parsed", 4: "failed"}
 
 
+def test_evidence_upgrade_keeps_undated_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    whole = table(spark, sf, "candidate_skills").dropna(subset=["candidate_id", "skill_id"]).groupBy("candidate_id", "skill_id").agg(F.min("evidence").alias("evidence"))
+    got = pipeline.evidence_upgrade(spark, sf).select("candidate_id", "skill_id", "evidence")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))  # explicit, if any row of the pair is
+
+
 def one(spark, text, f):
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("r")).first()["r"]
 

@@ -308,7 +308,8 @@ def evidence_upgrade(s, sf):
     cs = table(s, sf, "candidate_skills").dropna(subset=["candidate_id", "skill_id", "evidence"]).select("candidate_id", "skill_id", "evidence", "source_section", "created_at")
     split = "timestamp'2022-01-01'"
     old = merge.first_per_key(cs.filter(f"created_at < {split}"), ["candidate_id", "skill_id"], ["evidence", "source_section"]).drop("created_at")
-    return merge.upgrade_evidence(old, cs.filter(f"created_at >= {split}").drop("created_at"), ["candidate_id", "skill_id"])
+    new = cs.filter(f"NOT coalesce(created_at < {split}, false)").drop("created_at")  # rows without a date arrive with the new ones
+    return merge.upgrade_evidence(old, new, ["candidate_id", "skill_id"])
 
 
 def status_flip(s, sf):
