@@ -78,6 +78,12 @@ def test_evidence_upgrade_keeps_undated_rows(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))  # explicit, if any row of the pair is
 
 
+def test_orphan_resumes(spark, tmp_path):
+    spark.createDataFrame([("a_0001", "x"), ("a_0001", "y"), ("b_007", "x"), ("b_007", "y"), ("unnumbered", "x"), (None, "x")], "doc_id string, source_path string").write.parquet(f"{tmp_path}/resume_document.parquet")
+    spark.createDataFrame([(1,), (1,), (None,)], "id long").write.parquet(f"{tmp_path}/candidates.parquet")
+    assert [tuple(r) for r in pipeline.dq_orphan_resumes(spark, str(tmp_path)).collect()] == [("resume_document", 2)]
+
+
 def one(spark, text, f):
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("r")).first()["r"]
 

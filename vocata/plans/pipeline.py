@@ -245,6 +245,13 @@ def dq_orphans(s, sf):
     return rows("candidate_id", "candidates").unionByName(rows("skill_id", "skills"))
 
 
+def dq_orphan_resumes(s, sf):
+    """The third orphan count beside those of dq_orphans: resumes whose doc_id names no candidate."""
+    number = F.regexp_extract("doc_id", r"_0*([0-9]+)$", 1).try_cast("long").alias("id")
+    docs = table(s, sf, "resume_document").filter("doc_id IS NOT NULL").select("doc_id", number).distinct()
+    return docs.join(table(s, sf, "candidates").select("id"), "id", "left_anti").agg(F.count("*").alias("n")).select(F.lit("resume_document").alias("reference"), "n")
+
+
 def dq_no_resume(s, sf):
     got = table(s, sf, "resume_document").select(F.regexp_extract("doc_id", r"_0*([0-9]+)$", 1).cast("long").alias("id")).distinct()
     return m.candidates(s, sf).join(got, "id", "left_anti").select("id")
@@ -351,7 +358,7 @@ NAMES = (
     "clean_punct clean_bullets ascii_fold dehyphenate collapse_ws clean_document content_hash block_kind doc_lines scrub_pii scrub_pii_counts segment_sections segment_jd skill_index skill_match jd_skills resume_skills "
     "extract_email extract_phone extract_location extract_name extract_education extract_dates extract_experience extract_projects extract_certs split_title_company parse_month_date jd_header jd_years jd_seniority jd_role "
     "parse_resume parse_jd eval_prf eval_prf_overall eval_parse eval_coverage load_summary taxonomy_nodes skills_master skill_alias skill_taxonomy_link taxonomy_violations taxonomy_stats table_counts dq_missing_tables dq_orphans "
-    "dq_no_resume dq_taxonomy_link dq_email_domain dedup_exact match_tfidf upsert_candidates insert_ignore_resumes link_candidate_skills replace_children evidence_upgrade status_flip upsert_jobs manifest_upsert label_load synthetic_sample"
+    "dq_orphan_resumes dq_no_resume dq_taxonomy_link dq_email_domain dedup_exact match_tfidf upsert_candidates insert_ignore_resumes link_candidate_skills replace_children evidence_upgrade status_flip upsert_jobs manifest_upsert label_load synthetic_sample"
 ).split()
 
 
@@ -391,6 +398,7 @@ UNION ALL SELECT 'alias_of_two', lower(trim(alias_text, ' ')) FROM skill_alias W
         "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES),
         "dq_missing_tables": "SELECT unnest(['match_results', 'career_readiness']) AS table_name",
         "dq_orphans": "SELECT 'candidate_id' AS reference, count(*) AS n FROM candidate_skills WHERE candidate_id IS NOT NULL AND candidate_id NOT IN (SELECT id FROM candidates WHERE id IS NOT NULL) UNION ALL SELECT 'skill_id', count(*) FROM candidate_skills WHERE skill_id IS NOT NULL AND skill_id NOT IN (SELECT id FROM skills WHERE id IS NOT NULL)",
+        "dq_orphan_resumes": "SELECT 'resume_document' AS reference, count(*) AS n FROM (SELECT DISTINCT doc_id, TRY_CAST(regexp_extract(doc_id, '_0*([0-9]+)$', 1) AS BIGINT) AS cid FROM resume_document WHERE doc_id IS NOT NULL) r WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.id = r.cid)",
         "dq_no_resume": "SELECT id FROM cand WHERE id NOT IN (SELECT CAST(regexp_extract(doc_id, '_0*([0-9]+)$', 1) AS BIGINT) FROM resume_document WHERE regexp_matches(doc_id, '_0*[0-9]+$'))",
         "dq_taxonomy_link": "SELECT id, taxonomy_id FROM sk WHERE taxonomy_id IS NOT NULL AND taxonomy_id NOT IN (SELECT id FROM tax)",
         "dq_email_domain": "SELECT id, email FROM cand WHERE email NOT LIKE '%.example'",
