@@ -71,6 +71,19 @@ def test_map_to_canonical(spark):
     assert canon.map_to_canonical(spark.createDataFrame([("x",)], "v string"), "v", e.limit(0)).first()["target"] is None
 
 
+def test_swap_and_another_edit(spark):
+    words = ["partition", "variance", "monitoring", "forecasting", "granularity", "seasonality"]
+    cases = [("patritio", "partition"), ("vraianc", "variance"), ("mointoribg", "monitoring"), ("frecatsing", "forecasting"), ("ranulraity", "granularity"), ("easonlaity", "seasonality")]
+    for w in words:  # every swap with every deletion, and every two swaps
+        for i in range(len(w) - 1):
+            swapped = w[:i] + w[i + 1] + w[i] + w[i + 2 :]
+            cases += [(swapped[:j] + swapped[j + 1 :], w) for j in range(len(w))]
+            cases += [(swapped[:j] + swapped[j + 1] + swapped[j] + swapped[j + 2 :], w) for j in range(i + 2, len(w) - 1)]
+    typed = spark.createDataFrame([(t, False) for t in {t for t, _ in cases}], "token string, dotted boolean")
+    got = {(r["token"], r["vtoken"]): r["sim"] for r in canon.repair_tokens(typed, spark.createDataFrame([(w,) for w in words], "vtoken string")).collect()}
+    assert [c for c in cases if got.get(c, 0) < 1 - 2 / len(c[1]) - 1e-9] == []
+
+
 # near duplicates
 
 

@@ -3,7 +3,8 @@
 Token-level repair: each distinct token of the typed values is joined to the vocabulary of
 the reference entries by edit distance. The join is an equi-join on pigeonhole keys: a
 vocabulary token is cut into three segments, and within two edits one of them stands
-unchanged in the typed token, shifted by two places at most. The corrected tokens are then
+unchanged in the typed token, shifted by two places at most, or as a swap with the next
+segment's letter leaves it. The corrected tokens are then
 combined by soft TF-IDF, which ranks whole entries.
 """
 
@@ -51,6 +52,13 @@ def _vocabulary_keys(vocab: DataFrame) -> DataFrame:
     n = F.length("vtoken")
     cut = lambda i: F.floor(n * i / 3).cast("int")
     segs = [F.concat(n.cast("string"), F.lit(f":{i}:"), F.col("vtoken").substr(cut(i) + 1, cut(i + 1) - cut(i))) for i in range(3)]
+    at = lambda p: F.col("vtoken").substr(p, F.lit(1))
+    for i in range(3):  # a swap across a border breaks two segments at once: they also stand as it leaves them
+        first, last, head = cut(i) + 1, cut(i + 1), F.concat(n.cast("string"), F.lit(f":{i}:"))
+        if i > 0:
+            segs.append(F.concat(head, at(first - 1), F.col("vtoken").substr(first + 1, last - first)))
+        if i < 2:
+            segs.append(F.concat(head, F.col("vtoken").substr(first, last - first), at(last + 1)))
     heads = F.when(n >= 7, F.array(F.concat(F.lit("p:"), F.substring("vtoken", 1, 5)))).otherwise(F.array().cast("array<string>"))
     short = F.transform(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(n - 1, F.lit(7)))), lambda k: F.concat(F.lit("a:"), F.col("vtoken").substr(F.lit(1), k)))
     keys = F.concat(F.array(F.concat(F.lit("=:"), F.col("vtoken"))), F.when(n >= 4, F.array(*segs)).otherwise(F.array().cast("array<string>")), heads, short)
@@ -80,6 +88,21 @@ def _typed_keys(tokens: DataFrame) -> DataFrame:
     return tokens.select("token", "dotted", F.explode(F.array_distinct(keys)).alias("key"))
 
 
+def _distance(lev: Column, most: Column) -> Column:
+    """Edits between token and vtoken, ``lev`` without swaps; up to two swaps of neighbours are one edit each.
+
+    Distances that stay above ``most`` whatever is swapped are left as they are.
+    """
+    two = lambda k: F.concat(F.col("token").substr(k + 1, F.lit(1)), F.col("token").substr(k, F.lit(1)))
+    swap = lambda w, k: F.concat(F.substr(w, F.lit(1), k - 1), two(k), F.substr(w, k + 2))
+    least = lambda words, cost: F.coalesce(F.array_min(F.transform(words, lambda w: F.levenshtein(w, F.col("vtoken")))) + cost, lev)
+    # a swap can only help where the two letters stand the other way round in vtoken
+    spots = F.filter(F.sequence(F.lit(1), F.length("token") - 1), lambda k: F.contains(F.col("vtoken"), two(k)))
+    once = F.transform(spots, lambda k: swap(F.col("token"), k))
+    twice = F.flatten(F.transform(spots, lambda k: F.transform(F.filter(spots, lambda m: m >= k + 2), lambda m: swap(swap(F.col("token"), k), m))))
+    return F.when((lev >= 3) & (lev - 2 <= most), F.least(lev, least(once, 1), least(twice, 2))).otherwise(lev)
+
+
 def repair_tokens(tokens: DataFrame, vocab: DataFrame, floor: float = 0.55) -> DataFrame:
     """``(token, dotted, vtoken, sim)``: the vocabulary tokens that each distinct typed token may mean.
 
@@ -92,10 +115,10 @@ def repair_tokens(tokens: DataFrame, vocab: DataFrame, floor: float = 0.55) -> D
     lev = F.levenshtein("token", "vtoken")
     letters = lambda c: F.array_sort(F.split(F.col(c), ""))
     swapped = (lev == 2) & (a == b) & (letters("token") == letters("vtoken"))
-    d = F.when(swapped, 1).otherwise(lev)
     code = F.col("vtoken").rlike("[0-9]$")
     strict = (F.least(a, b) <= 3) | code
-    sim = F.when(~strict | (d == 0), 1 - d / F.greatest(a, b)).otherwise(F.lit(0.0))
+    d = F.when(swapped, 1).when(strict, lev).otherwise(_distance(lev, (1 - floor) * F.greatest(a, b)))
+    sim = F.when(~strict | (F.col("token") == F.col("vtoken")), 1 - d / F.greatest(a, b)).otherwise(F.lit(0.0))
     begins = F.col("dotted") & (a >= 3) & F.startswith("vtoken", F.col("token"))
     sim = F.greatest(sim, F.when(begins, 0.9).otherwise(0.0))
     return pairs.withColumn("sim", sim).filter(F.col("sim") >= floor)
