@@ -84,6 +84,14 @@ def test_orphan_resumes(spark, tmp_path):
     assert [tuple(r) for r in pipeline.dq_orphan_resumes(spark, str(tmp_path)).collect()] == [("resume_document", 2)]
 
 
+def test_missing_tables_of_a_folder(spark, tmp_path):
+    for n in pipeline.TABLES:
+        if n not in ("skills", "raw_jd"):
+            (tmp_path / f"{n}.parquet").mkdir()
+    (tmp_path / "skills.csv").touch()
+    assert sorted(r[0] for r in pipeline.dq_missing_tables(spark, str(tmp_path)).collect()) == ["career_readiness", "match_results", "raw_jd", "skills"]
+
+
 def one(spark, text, f):
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("r")).first()["r"]
 

@@ -8,7 +8,7 @@ from ..functions import extract as x
 from ..functions import text as t
 from ..operators import documents as d
 from ..operators import evaluate, merge, quality, similarity
-from ..session import table
+from ..session import table, table_names
 from . import model as m
 
 TABLES = ("skill_taxonomy", "skills", "skill_alias", "candidates", "candidate_skills", "resume_document", "raw_jd", "skill_hits", "synthetic_resume", "synthetic_jd")
@@ -235,7 +235,7 @@ def table_counts(s, sf):
 
 
 def dq_missing_tables(s, sf):
-    have = s.createDataFrame([(n,) for n in TABLES], "table_name string")
+    have = s.createDataFrame([(n,) for n in table_names(s, sf)], "table_name string")
     return quality.missing_tables(s, have, [*TABLES, "match_results", "career_readiness"])
 
 

@@ -34,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_names(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Names of the Parquet tables that a data directory holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return sorted(n.removesuffix(".parquet") for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with checkpoint() and return it with a short lineage.
 
