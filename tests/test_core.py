@@ -92,6 +92,18 @@ def test_missing_tables_of_a_folder(spark, tmp_path):
     assert sorted(r[0] for r in pipeline.dq_missing_tables(spark, str(tmp_path)).collect()) == ["career_readiness", "match_results", "raw_jd", "skills"]
 
 
+def test_field_queries_read_the_texts(spark, tmp_path):
+    cv = "Ann Lee\n\nEXPERIENCE\nAnalyst | Acme Corp (Mar 2019 - Present)\n- Built reports\nIntern at Beta Ltd (2015 - 2017)\n"
+    ad = "Data Analyst\n\nRequirements\n- 4-6 years of SQL\n- 3+ years of Python\n\nPreferred Qualifications\n- 1 year of R\n"
+    spark.createDataFrame([("r1", cv)], "doc_id string, raw_text string").write.parquet(f"{tmp_path}/resume_document.parquet")
+    spark.createDataFrame([("j1", ad), ("j2", "Data Analyst\n\nRequirements\n- SQL\n")], "jd_id string, raw_text string").write.parquet(f"{tmp_path}/raw_jd.parquet")
+    rows = lambda q, *c: sorted((tuple(r) for r in q(spark, str(tmp_path)).select(*c).collect()), key=repr)
+    assert rows(pipeline.jd_text_years, "doc_id", "years_min") == [("j1", 3), ("j2", None)]
+    assert rows(pipeline.split_title_company, "doc_id", "title", "company") == [("r1", "Analyst", "Acme Corp"), ("r1", "Intern", "Beta Ltd")]
+    days = [("end", "2017", dt.date(2017, 1, 1)), ("end", "Present", None), ("start", "2015", dt.date(2015, 1, 1)), ("start", "Mar 2019", dt.date(2019, 3, 1))]
+    assert rows(pipeline.resume_month_dates, "edge", "text", "day") == sorted(days, key=repr)
+
+
 def one(spark, text, f):
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("r")).first()["r"]
 

@@ -115,17 +115,27 @@ def education_entries(sections: DataFrame) -> DataFrame:
     return rows.select("doc_id", "pos", "e.*")
 
 
-def experience_entries(sections: DataFrame) -> DataFrame:
-    """Entries of the experience section: a dated line with a title, or an undated subheading,
-    begins one; other lines are its bullets. Lines before the first entry belong to none."""
+def _experience_lines(sections: DataFrame) -> DataFrame:
+    """Lines of the experience section, whether each ``starts`` an entry, and the ``titled`` text it then has."""
     r = sections.filter("section = 'experience'").withColumn("t", x.strip(F.col("text"))).filter("t != ''")
     title_only = F.regexp_replace(F.regexp_replace(F.col("t"), x.DATE_RANGE, ""), r"^[ (\-):—]+|[ (\-):—]+$", "")
     bullet = (F.col("kind") == "bullet") | F.col("t").rlike(BULLET_VERBS)
     r = r.withColumns({"d": x.dates(F.col("t")), "title_only": title_only, "bullet": bullet})
     starts = ~F.col("bullet") & ((F.col("d").isNotNull() & (F.col("title_only") != "")) | (F.col("d").isNull() & F.col("kind").isin("subheading", "heading")))
+    return r.withColumns({"starts": starts, "titled": F.when(F.col("d").isNotNull(), F.col("title_only")).otherwise(F.col("t"))})
+
+
+def title_lines(sections: DataFrame) -> DataFrame:
+    """``(doc_id, pos, text)``: the text of title and company of each line that begins an experience entry."""
+    return _experience_lines(sections).filter("starts").select("doc_id", "pos", F.col("titled").alias("text"))
+
+
+def experience_entries(sections: DataFrame) -> DataFrame:
+    """Entries of the experience section: a dated line with a title, or an undated subheading,
+    begins one; other lines are its bullets. Lines before the first entry belong to none."""
     w = W.partitionBy("doc_id").orderBy("pos")
-    r = r.withColumn("starts", starts).withColumn("entry", F.sum(F.col("starts").cast("int")).over(w)).filter("entry > 0")
-    head = F.when(F.col("starts"), F.struct(x.title_company(F.when(F.col("d").isNotNull(), F.col("title_only")).otherwise(F.col("t"))).alias("tc"), F.col("d").alias("d")))
+    r = _experience_lines(sections).withColumn("entry", F.sum(F.col("starts").cast("int")).over(w)).filter("entry > 0")
+    head = F.when(F.col("starts"), F.struct(x.title_company(F.col("titled")).alias("tc"), F.col("d").alias("d")))
     late = F.when(~F.col("starts") & ~F.col("bullet") & (F.col("title_only") == ""), F.col("d"))
     body = F.when(~F.col("starts") & (F.col("bullet") | F.col("d").isNull()), F.struct("pos", "t"))
     g = r.withColumns({"head": head, "late": late, "body": body}).groupBy("doc_id", "entry").agg(

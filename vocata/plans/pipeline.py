@@ -127,7 +127,8 @@ def extract_certs(s, sf):
 
 
 def split_title_company(s, sf):
-    return m.jobs(s, sf).select("job_id", x.title_company(F.concat_ws(" - ", "job_title", "company")).alias("r")).select("job_id", "r.*")
+    lines = d.title_lines(d.segment(_resumes(s, sf)))
+    return lines.select("doc_id", "pos", x.title_company(F.col("text")).alias("r")).select("doc_id", "pos", "r.*")
 
 
 def parse_month_date(s, sf):
@@ -135,6 +136,12 @@ def parse_month_date(s, sf):
     return shown.select("text", t.month_date(F.col("text")).alias("day"))
 
 
+def resume_month_dates(s, sf):
+    """The starts and ends of the date ranges of the resumes, as days; ends such as Present have none."""
+    ends = extract_dates(s, sf).select("doc_id", "pos", F.explode(F.create_map(F.lit("start"), "start", F.lit("end"), "end")).alias("edge", "text"))
+    return ends.withColumn("day", t.month_date(F.col("text")))
+
+
 def jd_header(s, sf):
     return d.jd_header(d.segment_jd(_adverts(s, sf)))
 
@@ -143,6 +150,12 @@ def jd_years(s, sf):
     return m.jobs(s, sf).select("job_id", x.years(F.concat(F.col("min_years_experience").cast("string"), F.lit("-9 years or 2+ years"))).alias("years_min"))
 
 
+def jd_text_years(s, sf):
+    """The least number of years in the requirement lines of each advert, null if they name none."""
+    years = F.min(F.when(F.col("section") == "requirements", x.years(F.col("text"))))
+    return d.segment_jd(_adverts(s, sf)).groupBy("doc_id").agg(years.alias("years_min"))
+
+
 def jd_seniority(s, sf):
     return m.jobs(s, sf).select("job_id", x.seniority(F.col("job_title"), F.col("min_years_experience")).alias("seniority"))
 
@@ -356,7 +369,7 @@ def synthetic_sample(s, sf):
 
 NAMES = (
     "clean_punct clean_bullets ascii_fold dehyphenate collapse_ws clean_document content_hash block_kind doc_lines scrub_pii scrub_pii_counts segment_sections segment_jd skill_index skill_match jd_skills resume_skills "
-    "extract_email extract_phone extract_location extract_name extract_education extract_dates extract_experience extract_projects extract_certs split_title_company parse_month_date jd_header jd_years jd_seniority jd_role "
+    "extract_email extract_phone extract_location extract_name extract_education extract_dates extract_experience extract_projects extract_certs split_title_company parse_month_date resume_month_dates jd_header jd_years jd_text_years jd_seniority jd_role "
     "parse_resume parse_jd eval_prf eval_prf_overall eval_parse eval_coverage load_summary taxonomy_nodes skills_master skill_alias skill_taxonomy_link taxonomy_violations taxonomy_stats table_counts dq_missing_tables dq_orphans "
     "dq_orphan_resumes dq_no_resume dq_taxonomy_link dq_email_domain dedup_exact match_tfidf upsert_candidates insert_ignore_resumes link_candidate_skills replace_children evidence_upgrade status_flip upsert_jobs manifest_upsert label_load synthetic_sample"
 ).split()
