@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vocata.llm import canon, chunk, cooccur, crf, langid, mix, neardup, pack, pii
+from vocata.llm import canon, chunk, cooccur, crf, langid, mix, neardup, pack, pii, pii_table
 
 
 def rows(df):
@@ -199,26 +200,46 @@ def test_forward_backward_and_viterbi_brute_force():
 NAMES = [f"{a} {b}" for a in ("Oluchi", "Renske", "Gisela", "Perrin", "Delphine", "Tamsin") for b in ("Quistorpe", "Sandovalli", "Nightsdale", "Mbekwari", "Verhoevel", "Harrowgate-Lim")]
 
 
+COLUMNS = (NAMES, ["Dunmarrow, Estria", "Port-Ember, Lowfen", "Verrowick, Veranto"], ["Crop Backfill Automation", "Yondergrid"])
+
+
 @pytest.fixture(scope="module")
 def pii_model():
-    return pii.train(NAMES, ["Dunmarrow, Estria", "Port-Ember, Lowfen", "Verrowick, Veranto"], ["Crop Backfill Automation", "Yondergrid"], docs=600, epochs=6)
+    return pii.train(*COLUMNS, docs=1500, held=False)
 
 
 def test_pii_held_out(spark, pii_model):
-    table = pii.labelled_lines(NAMES, ["Dunmarrow, Estria"], ["Yondergrid"], docs=80, seed=99)
+    """Patterns, streets, hosts, labels and number formats that training never met."""
+    table = pii_table.labelled_lines(*COLUMNS, 250, 99, True, plain=True)
     docs = [(str(i), "".join(t for t, _ in runs)) for i, runs in enumerate(table)]
     want = {(str(i), k, t) for i, runs in enumerate(table) for t, k in runs if k}
     found = pii.find_pii(spark.createDataFrame([*docs, ("n", None), ("e", ""), (None, "no words 12")], "id string, spans string"), ["id"], "spans", pii_model)
     got = set(rows(pii.found_values(found, ["id"])))
-    assert len(got & want) / len(want) > 0.9 and len(got & want) / len(got) > 0.9
+    for kind, least in {"email": 0.75, "phone": 0.85, "id_number": 0.6, "address": 0.6, "name": 0.7}.items():
+        g, w = ({x for x in y if x[1] == kind} for y in (got, want))
+        assert 2 * len(g & w) / (len(g) + len(w)) > least, kind
     clean = {r["id"]: r["scrubbed_text"] for r in pii.scrubbed(found, ["id"]).collect()}
     assert clean["e"] == "" and "n" not in clean and sum("[EMAIL]" in c for c in clean.values() if c) > 10
 
 
+def test_pii_new_texts_of_met_patterns(pii_model):
+    table = pii_table.labelled_lines(*COLUMNS, 250, 98, False, plain=True)
+    docs = ["".join(t for t, _ in runs) for runs in table]
+    want = {(i, k, t) for i, runs in enumerate(table) for t, k in runs if k}
+    got = {(i, k, docs[i][a:b]) for i, spans in enumerate(pii.Finder(pii_model).spans(docs)) for a, b, k in spans}
+    assert 2 * len(got & want) / (len(got) + len(want)) > 0.9
+
+
+def test_training_patterns_stand_in_no_test_text():
+    texts = "\n".join(t.lower() for f in ("resume_document", "raw_jd") for t in pd.read_parquet(f"/root/testdata/sf0.1/{f}.parquet")["raw_text"].dropna())
+    parts = [x.lower() for g in (pii_table.PERSONAL, pii_table.NEUTRAL) for kind in pii_table.patterns(g) for p in kind for x in re.split(r"\{\w\}|\^", p)]
+    assert [x for x in {x for x in parts if len(x) >= 12} if x in texts] == []
+
+
 def test_pii_skipping_changes_nothing(pii_model):
     part, full = pii.Finder(pii_model), pii.Finder(pii_model)
     full.live = lambda e, inner: inner
-    docs = ["".join(t for t, _ in runs) for runs in pii.labelled_lines(NAMES, [], [], docs=40, seed=5)]
+    docs = ["".join(t for t, _ in runs) for runs in pii_table.labelled_lines(NAMES, [], [], docs=40, seed=5)]
     assert part.spans(docs) == full.spans(docs)
 
 

@@ -150,7 +150,7 @@ def train(
     for i, fs in enumerate(features):
         known = [names[f] for f in fs if f in names]
         ids[i, : len(known)] = known
-    w = np.zeros((n_slots, len(names) + 1, k), np.float32)
+    w = np.zeros((len(names) + 1, n_slots * k), np.float32)  # a row per feature, so that rows are fetched and summed as they lie
     chain = np.zeros((k + 2, k), np.float32)  # transitions, then start, then end
     closed = np.zeros((k, k), bool)
     if forbidden:
@@ -169,8 +169,8 @@ def train(
             form = slots[:, token]
             used, form = np.unique(form, return_inverse=True)
             form = form.reshape(n_slots, -1)
-            table = w[:, ids[used]].sum(axis=2)
-            e = sum(table[s][form[s]] for s in range(n_slots))
+            table = w[ids[used]].sum(axis=1).reshape(-1, n_slots, k)
+            e = sum(table[form[s], s] for s in range(n_slots))
             trans, first, last = parts()
             diff = np.zeros((len(token), k), np.float32)
             dchain = np.zeros_like(chain)
@@ -199,18 +199,19 @@ def train(
             else:
                 np.add.at(dchain, (np.full(len(heads), outside), y[heads]), -1)
                 np.add.at(dchain, (y[tails], np.full(len(tails), outside)), -1)
+            cell = [(form[s] * k)[:, None] + np.arange(k) for s in range(n_slots)]
+            per_form = np.stack([np.bincount(c.ravel(), diff.ravel(), len(used) * k).reshape(-1, k) for c in cell], axis=1).reshape(len(used), -1).astype(np.float32)
+            flat = ids[used].ravel()
+            order = np.argsort(flat, kind="stable")
+            heads_of = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
             dw = np.zeros_like(w)
-            for s in range(n_slots):
-                per_form = np.stack([np.bincount(form[s], diff[:, j], len(used)) for j in range(k)], axis=1)
-                flat = ids[used].ravel()
-                spread = np.repeat(per_form, width, axis=0)
-                dw[s] = np.stack([np.bincount(flat, spread[:, j], w.shape[1]) for j in range(k)], axis=1)
+            dw[flat[order[heads_of]]] = np.add.reduceat(per_form[order // width], heads_of, axis=0)
             step += 1
             for x, g, (m, v) in zip((w, chain), (dw / len(y), dchain / len(y)), state):
                 g = g + l2 * x
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            w[:, -1] = 0
+            w[-1] = 0
     trans, first, last = parts()
-    return Model(labels, names, w[:, :-1].copy(), trans, first, last)
+    return Model(labels, names, np.ascontiguousarray(w[:-1].reshape(-1, n_slots, k).transpose(1, 0, 2)), trans, first, last)

@@ -3,7 +3,7 @@
 Words, numbers and signs are labelled begin / inside / outside of five types. Features
 are word shapes, affixes and identities of the token, of its neighbours and of the chunks
 (runs of non-spaces) around it. The model is trained from a small labelled table that
-:func:`labelled_lines` writes from line patterns and bounded samples of names and places.
+:func:`.pii_table.labelled_lines` writes from neutral patterns in six languages.
 Decoding is Viterbi in numpy batches over the runs of tokens that can hold anything: a
 token is skipped only if an upper bound on the score of every span that could touch it
 shows that staying outside wins, so the result is that of decoding everything.
@@ -12,7 +12,7 @@ shows that staying outside wins, so the result is that of decoding everything.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -21,19 +21,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from .pii_table import labelled_lines
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 #: Rows taken from each filler table for training, and training documents written.
-SAMPLE_ROWS, TRAINING_DOCS = 2000, 1800
+SAMPLE_ROWS, TRAINING_DOCS = 2000, 3200
+#: Share of the words whose spelling is hidden in training.
+HIDDEN = 0.15
 _SPACE = r"[^\S\r\n\x0b\x0c\x85\u2028\u2029]"
 _TOKEN = re.compile(rf"{_SPACE}*(?:\r\n|[\r\n\x0b\x0c\x85\u2028\u2029]|[^\W\d_]+|\d+|\S)")
 _BREAK = "\r\n\x0b\x0c\x85\u2028\u2029"
-_EDGE, _FLAGS = "\x00edge", "\x00flag"
+_EDGE, _FLAGS, _VEIL = "\x00edge", "\x00flag", "\x00veil"
 
 
 def form_features(form: str) -> list[str]:
     """Features of a token as it stands in the text, with the spaces before it."""
+    if form.startswith(_VEIL):  # a word of which only the shape is seen
+        return [f for f in form_features(form[len(_VEIL) :]) if f[:2] not in ("w=", "e=", "p=")]
     if form.startswith("\x00"):
         return [form]
     core = form.strip(" \t\xa0") if form[-1] in _BREAK else form.lstrip()
@@ -80,7 +85,7 @@ class Forms:
 class Document:
     """Tokens of a batch of texts, one after the other with edges between, as arrays."""
 
-    def __init__(self, texts: Sequence[str], forms: Forms):
+    def __init__(self, texts: Sequence[str], forms: Forms, veil: Callable[[list[str]], list[str]] | None = None):
         toks: list[str] = []
         starts, edge = [], ["\x00edge"] * 4
         for t in texts:
@@ -89,6 +94,7 @@ class Document:
             toks += _TOKEN.findall(t)
         toks += edge
         self.form = forms.of(toks)
+        seen = forms.of(veil(toks)) if veil else self.form
         n = len(toks)
         size = np.fromiter(map(len, toks), np.int64, n)
         self.inner = self.form != 0
@@ -106,9 +112,17 @@ class Document:
         chunk = np.cumsum(head) - 1
         flags = np.bitwise_or.reduceat(kind & 7, self.head) if n else kind
         last = len(self.head) - 1
-        heads = lambda d: self.form[self.head[np.clip(chunk + d, 0, last)]]
+        heads = lambda d: seen[self.head[np.clip(chunk + d, 0, last)]]
         at = np.arange(n)
-        own = [self.form[np.clip(at + d, 0, n - 1)] for d in (0, -1, 1, -2, 2, -3, 3)]
+        own = [seen[np.clip(at + d, 0, n - 1)] for d in (0, -1, 1, -2, 2)]
+        # the last two words before, on the same line, of chunks without digits: what a number is called
+        word = np.where((kind & 4 > 0) & (flags[chunk] & 2 == 0), at, -1)
+        before = np.r_[-1, np.maximum.accumulate(word)[:-1]]
+        line = np.r_[-1, np.maximum.accumulate(np.where(self.line_end, at, -1))[:-1]]
+        for _ in range(2):
+            before = np.where(before > line, before, -1)
+            own.append(np.where(before >= 0, seen[before], 0))
+            before = np.where(before >= 0, np.r_[-1, np.maximum.accumulate(word)[:-1]][before], -1)
         flag = (flags[chunk] + 8 * head).astype(np.int32) + 1
         self.slots = np.stack([*own, flag, *(heads(d) for d in (1, 2, 3, 4, -1, -2, 0))])
 
@@ -121,186 +135,22 @@ def _kind(key: str) -> int:
     return (core == "@") | 2 * core[0].isdigit() | 4 * core[0].isalpha() | 8 * (core[0] in _BREAK) | 16 * (len(core) < len(key))
 
 
-def _fillers(rng: np.random.Generator, names: Sequence[str], places: Sequence[str], phrases: Sequence[str]):
-    pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    digits = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
-    syllables = "ba ke lo mi nu ra so ti vu der len mar nor quin ster thal vik wen zor ash bel cor dra fen gri hol jor".split()
-    made = lambda: "".join(pick(syllables) for _ in range(int(rng.integers(2, 4)))).capitalize()
-    letter = lambda: chr(65 + int(rng.integers(26)))
-
-    def parts() -> tuple[str, str]:
-        if rng.random() < 0.7 and names:
-            n = pick(names).split()
-            if len(n) > 1:
-                return n[0], n[-1]
-        return made(), made() + (pick(["-", "'"]) + made() if rng.random() < 0.15 else "")
-
-    def name() -> str:
-        a, b = parts()
-        form = rng.random()
-        s = f"{a} {b}" if form < 0.55 else f"{b}, {a}" if form < 0.7 else f"{a[0]}. {b}" if form < 0.83 else f"{a} {letter()}. {b}" if form < 0.95 else f"{a[0]}{'. ' + letter()}. {b}"
-        case = rng.random()
-        return s.upper() if case < 0.1 else s.lower() if case < 0.22 else s
-
-    def email() -> str:
-        a, b = (x.lower().replace("'", "") for x in parts())
-        local = [f"{a}.{b}", f"{a}_{b}{digits(2)}", f"{a[0]}{b}", f"{b}+cv{digits(1)}", f"{a}{digits(2)}", f"{a}_{b}{digits(1)}", f"{b}.{a}", f"{a}-{b}"][int(rng.integers(8))]
-        domain = pick(["postkorb", "quillmail", "mailrow", "courrier", "career-box", "inbox." + made().lower(), "mail." + made().lower(), made().lower(), made().lower() + "-" + made().lower()])
-        end = pick(["example", "test", "example", "example.org", "invalid", "com"])
-        form = rng.random()
-        full = f"{domain}.{end}"
-        if form < 0.6:
-            s = f"{local}@{full}"
-        elif form < 0.74:
-            s = f"{local} at {full.replace('.', ' dot ')}"
-        elif form < 0.87:
-            s = f"{local} (at) {full}"
-        else:
-            s = f"{local} [at] {full.replace('.', ' [dot] ')}"
-        return s.upper() if rng.random() < 0.1 else s
-
-    def phone() -> str:
-        forms = [
-            "+44 20 7946 0###", "+49 30 23125 ###", "+1 555 01## ###", "(###) 555-01##", "(030) 23125-###", "020 7946 0###", "01 99 00 ## ##", "+33 1 99 00 ## ##",
-            "+1-###-555-01##", "555.01##.####", "0015550#####", "004455501####", "+## ### #######", "(0##) ### ####", "0## #### ####", "+34 6## ## ## ##", "###-###-####", "+31 20 ### ####", "0#### ######", "+## (0)## ### ####",
-        ]
-        return re.sub("#", lambda _: digits(1), pick(forms[:12] if rng.random() < 0.85 else forms))
-
-    def number() -> tuple[str, str]:
-        label, form = pick([
-            ("SSN", "###-##-####"), ("social security no.", "### ## ####"), ("NI number", "QQ ## ## ## @"), ("National Insurance", "QQ######@"), ("Steuer-ID", "## ### ### ###"),
-            ("DNI", "########-@"), ("NIR", "# ## ## ## ### ### ##"), ("Passport", "XQ#######"), ("national identity card", "####-####-##-@"), ("tax number", "##/###/#####"),
-            ("passport no.", "@@#######"), ("Tax ID", "##-#######"), ("insurance number", "## ###### @ ###"), ("identity card no.", "@########"), ("BSN", "#########"), ("NIF", "@########"),
-        ])
-        return label, re.sub("@", lambda _: pick("ABCD") if rng.random() < 0.5 else letter(), re.sub("#", lambda _: digits(1), form))
-
-    def town() -> str:
-        return pick(places).split(",")[0] if places and rng.random() < 0.8 else made()
-
-    def address() -> str:
-        n, d = int(rng.integers(1, 1990)), lambda k: digits(k)
-        road = pick(["Marlpit", "Hollin Crest", "Three Kilns", "Gosling", "Fernhill", "Old Ferry", "Saltpan", "Chandler", made(), made() + " " + pick(["Hill", "Green", "Gate"])])
-        kind = pick(["Road", "Street", "Lane", "Close", "Ave", "Terrace", "Drive", "Court", "Avenue", "Blvd.", "Road", "Street", "St.", "Rd."])
-        unit = pick(["", "", "", ", Flat 3", ", Unit 12", ", Apt 5B", " #4", f", Flat {d(1)}", f", Apt {d(1)}A", f" #{d(2)}"])
-        code = pick([f"VX{d(1)} {d(1)}ZQ", f"VX{d(1)} {d(1)}{letter()}{letter()}"])
-        state = f"NX {'00' + d(3)}"
-        tail = rng.random()
-        if tail < 0.3:
-            return f"{n} {road} {kind}\n{town()} {state}"
-        if tail < 0.45:
-            return f"{n} {road} {kind}{unit}, {town()}, {state}"
-        if tail < 0.65:
-            return f"{n % 200 + 1} {road} {kind}{unit}, {town()} {code}"
-        if tail < 0.7:
-            return f"{n} {road} {kind}{unit}"
-        if tail < 0.8:
-            house = f"{n % 150 + 1}{pick(['', '', 'a', ' c', 'b', ' b'])}"
-            street = pick(["Kirschhof", "Lindenacker", "Mühlgraben", made()]) + pick(["straße", "weg", "str.", "gasse", "platz", "allee", "str."])
-            return f"{street} {house}, 00{d(3)} {town()}"
-        if tail < 0.9:
-            street = pick(["de los Alfareros", "Cuesta Baja", "del Molino Pardo", "de " + made()])
-            return f"Calle {street} {n % 90 + 1}, {pick('123456')}.º {pick('ABC')}, 00{d(3)} {town()}"
-        street = pick(["des Forgerons", "des Lavandières", "des Tilleuls-Gris", "de la " + made(), "du " + made()])
-        return f"{n % 150 + 1}{pick(['', ' bis', '', ' ter'])} {pick(['rue', 'avenue', 'impasse', 'place', 'boulevard', 'chemin'])} {street}, 00{d(3)} {town()}"
-
-    def role() -> str:
-        rank = pick(["", "", "Junior ", "Senior ", "Lead ", "Principal ", "Interim ", "Associate "])
-        trade = pick(["Revenue Analyst", "Pricing Scientist", "Survey Statistician", "Model Engineer", "Data Steward", "Pipeline Engineer", "Platform Engineer", "Reporting Analyst", pick(["Store", "Claims", "Office", "Policy", made()]) + pick([" Manager", " Analyst", " Planner", " Officer"])])
-        return rank + trade + pick(["", "", " II", " III"])
-
-    def phrase() -> str:
-        return pick(phrases) if phrases and rng.random() < 0.9 else f"{made()} {made()} {made()}"
-
-    def firm() -> str:
-        return f"{parts()[1] if rng.random() < 0.5 else made()} {pick(['Systems', 'Health', 'Logistics', 'Energy', 'Retail Group', 'Insurance', 'Press', 'Foods', 'Holdings', 'Analytics', 'Mobility', 'Cooperative'])}"
-
-    return {"N": name, "E": email, "P": phone, "A": address, "I": number, "T": town, "S": phrase, "F": firm, "R": role, "G": lambda: parts()[0], "d": lambda: digits(1), "D": lambda: str(int(rng.integers(1, 60)))}, pick
-
-
-# Line patterns of the labelled table. {N} name, {E} email, {P} phone, {A} address, {L} and {I}
-# label and value of an id number are personal; the others only fill the line.
-_WITH = """Questions go to {N} at {E}|{N} will lead the first interview.|Interviews take place with {N} and a colleague from the shop.|Hiring manager: {N}, tel. {P}
-Contact / Kontakt: Ms {N} / {P}|Contact / Kontakt: Ms {N} | {P}|Ansprechpartnerin: {N}, Tel. {P}|Contacto: {N}; {E}|Contact : {N}, {E}|Apply: {E}|Call {P} before noon|Mobil: {P}|Mobile {P}
-Send documents to {A}|Send documents to {A}|The desk is at {A} and the entrance faces the canal.|Living at {A} since 2019.|Home: {A}|{A}|{A} / {P}|Home: {A}\x02{A} / {P}|Letter of recommendation signed by {N}, {A}\x02{A}|Candidatures à envoyer à {E} ou par courrier, {A}
-Please mail {E}, or ring {N} ({P}).|(  {N}, who left in May, used to answer {P} - please remove.)|({N}, who left in May, used to answer {P} - please remove.)|I can also be reached at {E} or {P}.
-Emergency contact {N} ({P})|Reference: {N}, {P}|Referee: Dr {N} <{E}>|Reported to {N} until the merger.|Took over the desk of {N} and kept it running alone.|Worked with {N} on the move of the archive; see also {E}
-Letter of recommendation signed by {N}, {A}|Note to agency - candidate {N} gave {L} {I} on the form, please delete.|[note of parser: {N} / {E} / id {I}]|date of birth on file, {L}={I}|{L}: {I}|{L} {I}, available on request
-Work permit holder, no. {I}; previously at {A}|{L} {I}|My manager was Mr {N}, phone {P}|{N} ({E}) supervised the project.|Phone: {P}|Tel {P} / {E}|Email: {E}|Address: {A}|Write to {N}, {A}, or call {P}.
-{E} | {P} | {T}, Estria|{E} | {T}, Lowfen|{P} | {T}, Veranto|{E} | {P} | {T}, {T}"""
-_WITHOUT = """Open {D}:00-15:30, room {D}{d}, {T}|Batch {D}-{D}{d} @ 7 p.m. daily|Salary band {D},000 - {D},000 a year|Follow us @haldencareers and vote for our street team|Runs release {D}.{D}.{D}.{d} in production
-{D} road tests at {D} km each, code A{D}{d}.{D}{D}|Ticket volume rose from {D}{D}{D} to {D}{D}{D}{d}|Term: 201{d}-202{d}, grade {d}-{D}-1{D}{d}x|Invoice 201{d}/{D}{D}-{D} settled, {D} Avenue-type shops opened|{F} is a client of ours
-Job reference JR-{D}{D}-{D}/202{d}|Won the {G} Prize for a capacity plan in 201{d}|{F} | {T}, Westmark|{T}, Estria|{R}|{R}|{R}|As a {R} you will spend about {D} percent of your time on the archived forecast.
-{R} - {F} (Mar 201{d} - Feb 202{d})|{R} - {F} (Oct 200{d} - Present)|MSc in Applied Counting - {T} College (20{D})|Diploma in Measurement - {T} College (201{d})|{S} Practitioner
-SUMMARY|Summary|SKILLS|EXPERIENCE|PROJECTS|EDUCATION|CERTIFICATIONS|PERSONAL|REFERENCES|ABOUT THE ROLE|RESPONSIBILITIES|REQUIREMENTS|Project: seasonal sensor log|{S}, {S}, {S}, {S}, {S}|{S}, {S}, {S}
-Required skills: {S}, {S}, {S}, {S}|Preferred skills: {S}, {S}|{T} | {F} | {D}{d} | archived | fraud queue | {S}|You bring {D} months of practice with {S} or something close to it.
-Replaced {D} macros with {S} and handed the regulated training set back to the support floor.|Moved {D} users of the seasonal forecast to {S} without a day of downtime.|Led {D} colleagues who moved the capacity plan away from spreadsheets after the audit.
-Found {D} double entries in the inherited survey panel, traced them and closed the gap in the first half of 2022.|Answered {D} requests a week from the actuarial group about the regional cost model.|Reduced late corrections in the board pack from {D} a month to almost none.
-Designed the sampling plan for the audited retention study and checked it with {S}.|Documented how {S} and the shared delivery ledger fit together so that new hires could follow it.|Mentored two trainees while keeping the brittle cost model running through the move.
-Negotiated access to the regulated pricing sheet with the support floor and kept a record of each decision.|Trained our field staff to read the audited fraud queue and to spot when its numbers drift.|Drafted the handbook on the quality check that the shop managers still use.
-I left because the automated forecast was handed to another department after the audit.|Nobody on senior management had touched the nightly quality check since it was first written last spring.|Chaired the weekly review of the archived capacity plan while senior management was short of people.
-We expect you to question the legacy quality check before anyone else does.|Within {D} weeks you should be able to run the audited tender analysis without help.|We pay for {D} study days a year and do not ask which course you pick.|There is budget for training, and our field staff will help you choose where to spend it.
-As a pricing scientist you will spend about {D} percent of your time on the inherited schema registry.|The work is split between the regional warehouse feed and a smaller archived training set, roughly {D} days a month.|Travel to {D} sites a year is needed because the billing job depends on visits.
-Strong applicants show how they used {S} to repair a nightly survey panel under time pressure.|This position is partly remote, yet our field staff meets in the office every other Thursday.|If you have run {S} in production for {D} weeks or longer, say so in the first line.
-Experience with {S} helps, but curiosity about the margin report matters more to the shop managers.|Our regional quality check was rebuilt with {S} between two releases, which cut the manual work by {D} percent.|{F} hires on merit alone and answers every application within three weeks of its arrival.
-Wir suchen jemanden, der das Datenlager auch ohne Fachbegriffe erklären kann.|Über {D} Monate habe ich das Team geleitet, das die Übersicht der Kennzahlen betreut.|Kenntnisse in {S} sind von Vorteil, aber keine Voraussetzung.|Durch {S} ist die Zahl der Fehler um {D} Prozent gesunken.
-Su solicitud será leída por el comité de empresa en un plazo de {D} días.|Gracias a {S} los errores bajaron un {D} por ciento.|Envíenos una carta en la que hable de su trabajo con {S}.|La maîtrise de {S} est appréciée, mais pas indispensable.|J'ai formé le comité d'entreprise à l'utilisation de {S}.
-Pendant {D} mois, j'ai encadré l'équipe chargée du catalogue des indicateurs.|J'ai repris le rapport de marge avant le déménagement avec l'aide de deux agences partenaires.|Le poste comprend aussi le tableau de bord régional, environ {D} jours par mois.|Durante {D} meses dirigí al equipo que llevaba la calidad de las entregas.|Mein Berater meint, ich solle die Absatzplanung stärker hervorheben.|Mi asesora dice que debería destacar el catálogo de indicadores.|Bitte schreiben Sie uns, was Sie an {S} überzeugt hat.
-Votre candidature sera lue par la direction financière dans les {D} jours.|Jeden Montag spricht das Team mit die Revision über den Stand der Arbeit.|Candidates often ask how the works council decides which legacy registry to retire first.|Reporting goes to senior management, while day to day questions come from the finance team."""
-_PERSONAL = {"N": "name", "E": "email", "P": "phone", "A": "address", "I": "id_number"}
-
-
-def labelled_lines(names: Sequence[str], places: Sequence[str], phrases: Sequence[str], docs: int = TRAINING_DOCS, seed: int = 11) -> list[list[tuple[str, str]]]:
-    """The labelled table: documents as ``(text, type or "")`` runs, written from the line patterns."""
-    rng = np.random.default_rng(seed)
-    fill, pick = _fillers(rng, names, places, phrases)
-    split = lambda s: [x for x in s.replace("\n", "|").replace("Ms {N} | {P}", "Ms {N} \x01 {P}").replace("{E} | ", "{E} \x01 ").replace("{P} | ", "{P} \x01 ").replace("{F} | ", "{F} \x01 ").replace("{T} | ", "{T} \x01 ").replace("{D}{d} | archived | fraud queue | ", "{D}{d} \x01 archived \x01 fraud queue \x01 ").split("|") if x]
-    have, have_not = ([x.replace("\x01", "|").replace("\x02", "\n") for x in split(s)] for s in (_WITH, _WITHOUT))
-
-    def line(pattern: str, upper: bool) -> list[tuple[str, str]]:
-        label, number = fill["I"]()
-        out = []
-        for piece in re.split(r"(\{\w\})", pattern):
-            key = piece[1:-1] if piece.startswith("{") else ""
-            text = number if key == "I" else label if key == "L" else fill[key]() if key else piece
-            if text:
-                out.append((text.upper() if upper and key not in "EI" else text, _PERSONAL.get(key, "")))
-        return out
-
-    table = []
-    for _ in range(docs):
-        runs: list[tuple[str, str]] = []
-        bullet, gap = pick(["", "", "- ", "  - ", "* ", "• ", "🔹 "]), pick(["\n", "\n", "\n", "\r\n", " ", "   \n"])
-        start = rng.random()
-        if start < 0.55:  # a resume starts with the name, if there is one
-            runs += [(fill["N"](), "name"), (gap, "")]
-        if start < 0.6:
-            if rng.random() < 0.9:
-                runs += [*line(pick([x for x in have if x.startswith(("{E} |", "{P} |"))] + ["{T}, Estria"]), False), (gap, "")]
-        else:  # an advert with its title and firm
-            upper = rng.random() < 0.15
-            if rng.random() < 0.85:
-                runs += [*line("{R}", upper), (gap, "")]
-            runs += [*line("{F} | {T}, Westmark", upper), (gap, "")]
-        for _ in range(int(rng.integers(3, 9))):
-            body = line(pick(have) if rng.random() < 0.5 else pick(have_not), rng.random() < 0.06)
-            if rng.random() < 0.5 and bullet:
-                runs.append((bullet, ""))
-            end = pick(["", "", "", "", " ", ".", " ;", ","]) if rng.random() < 0.3 else ""
-            runs += [*body, (end + (gap + gap if rng.random() < 0.15 else gap), "")]
-        table.append([r for r in runs if r[0]])
-    return table
-
-
-def train(names: Sequence[str], places: Sequence[str], phrases: Sequence[str], docs: int = TRAINING_DOCS, seed: int = 11, epochs: int = 8) -> crf.Model:
-    """A model from :func:`labelled_lines`; the same arguments give the same model."""
-    return _train(tuple(names), tuple(places), tuple(phrases), docs, seed, epochs)
+def train(names: Sequence[str], places: Sequence[str], phrases: Sequence[str], docs: int = TRAINING_DOCS, seed: int = 11, epochs: int = 4, held: bool | None = None, titles: Sequence[str] = (), firms: Sequence[str] = ()) -> crf.Model:
+    """A model from :func:`.pii_table.labelled_lines`; the same arguments give the same model."""
+    return _train(tuple(names), tuple(places), tuple(phrases), docs, seed, epochs, held, tuple(titles), tuple(firms))
 
 
 @lru_cache(maxsize=4)
-def _train(names, places, phrases, docs, seed, epochs) -> crf.Model:
-    table = labelled_lines(names, places, phrases, docs, seed)
-    forms = Forms()
-    doc = Document(["".join(t for t, _ in runs) for runs in table], forms)
+def _train(names, places, phrases, docs, seed, epochs, held, titles, firms) -> crf.Model:
+    table = labelled_lines(names, places, phrases, docs, seed, held, titles, firms)
+    forms, rng = Forms(), np.random.default_rng(seed)
+
+    def veil(toks: list[str]) -> list[str]:
+        """Hides the spelling of some words, so that shapes and surroundings are learned as well."""
+        hide = rng.random(len(toks)) < HIDDEN
+        return [_VEIL + t if h and t.lstrip()[:1].isalpha() else t for t, h in zip(toks, hide)]
+
+    doc = Document(["".join(t for t, _ in runs) for runs in table], forms, veil)
     gold = np.zeros(len(doc.form), np.int64)
     lengths = np.zeros(len(table), np.int64)
     for i, runs in enumerate(table):
@@ -315,7 +165,7 @@ def _train(names, places, phrases, docs, seed, epochs) -> crf.Model:
                 gold[lo], gold[lo + 1 : hi + 1] = b, b + 1
             at += len(text)
     closed = lambda a, b: b[0] == "I" and a[1:] != b[1:] or (b[0] == "I" and a == "O")
-    return crf.train([form_features(k) for k in forms.keys], doc.slots, gold, doc.first, lengths, LABELS, closed, epochs=epochs, outside=0, seed=seed)
+    return crf.train([form_features(k) for k in forms.keys], doc.slots, gold, doc.first, lengths, LABELS, closed, epochs=epochs, batches=24, outside=0, seed=seed)
 
 
 class Finder:
@@ -420,7 +270,7 @@ def tidy(text: str, lo: int, hi: int, kind: str) -> tuple[int, int] | None:
     n = len(_DIGIT.findall(s))
     words = _LETTERS.findall(s)
     good = {
-        "email": lambda: "@" in s or re.search(r"(?i)[\s(\[]at[\s)\]]", s) is not None,
+        "email": lambda: "@" in s or re.search(r"(?i)[\s(\[{]at[\s)\]}]", s) is not None,
         "phone": lambda: 7 <= n <= 15,
         "id_number": lambda: n >= 5,
         "address": lambda: n >= 1 and len(words) >= 1,

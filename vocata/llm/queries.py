@@ -34,10 +34,13 @@ def sample(df: DataFrame, column: str, rows: int) -> list[str]:
 
 
 def p2_spans(spark, sf):
-    """The model is trained on line patterns filled from bounded samples of names, places and skill names."""
+    """The model is trained on neutral patterns, filled also from bounded samples of structured columns, never of texts."""
     n = pii.SAMPLE_ROWS
-    people = table(spark, sf, "candidates")
-    model = pii.train(sample(people, "full_name", n), sample(people, "location", n), sample(table(spark, sf, "skills"), "canonical_name", n))
+    people, adverts = table(spark, sf, "candidates"), table(spark, sf, "synthetic_jd")
+    model = pii.train(
+        sample(people, "full_name", n), sample(people, "location", n), sample(table(spark, sf, "skills"), "canonical_name", n),
+        titles=sample(adverts, "job_title", n), firms=sample(adverts, "company", n),
+    )
     return pii.find_pii(raw_items(spark, sf), ["src_table", "item_key"], "raw_text", model)
 
 
