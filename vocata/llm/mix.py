@@ -20,6 +20,8 @@ from .tokens import TOKENIZER_DIR, VOCABULARY, token_count
 GOLDEN = 0.6180339887498949
 #: Texts or slots per chunk of a prefix sum, tokens per block, and rows of a target list at most.
 CHUNK_ROWS, BLOCK_TOKENS, MAX_SOURCES = 50_000, 4096, 10_000
+#: Blocks of one source at least and at most: a share is met to about a block, and the schedule has a bounded size.
+MIN_BLOCKS, MAX_BLOCKS = 256, 1_000_000
 
 
 def sized_texts(docs: DataFrame, doc_id: str, text: str, source: str, folder: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -29,13 +31,14 @@ def sized_texts(docs: DataFrame, doc_id: str, text: str, source: str, folder: st
 
 
 def mix(sized: DataFrame, targets: DataFrame, seed: int = 0, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:
-    """``(chosen, shares)`` of the largest mixture that keeps the targets and the caps.
+    """``(chosen, shares)`` of the largest mixture that keeps the targets and the caps, to about a block.
 
     chosen: ``(doc_id, source, n_tokens, repeats)``; ``repeats`` is at least 1 and at most
     the source's ``max_repeats``. shares: ``(source, target_share, aim_share, actual_share,
     tokens, available_tokens, max_repeats, note)``, a row per target and per source without
     one. A target without texts cannot be met: it is noted, and the others are scaled to
-    one. Texts of sources without target, empty texts, sources with a share of 0 or a cap
+    one. The size is the least of cap x tokens / share over the sources, so a small source
+    with a great share bounds the mixture. Texts of sources without target, empty texts, sources with a share of 0 or a cap
     of 0 are not used. With no usable source both results have no tokens. A repeated target
     row counts once, the greatest of differing ones.
     """
@@ -50,12 +53,13 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 0, block_tokens: int =
     share = sum(r["target_share"] for r in use)
     rows = []
     for r in use:
-        blocks = max(1, round(r["have"] / block_tokens))
+        blocks = min(max(MIN_BLOCKS, round(r["have"] / block_tokens)), MAX_BLOCKS)
         aim = r["target_share"] / share
         rows.append({"source": r["source"], "aim": aim, "blocks": blocks, "cap": r["max_repeats"], "have": r["have"], "chunks": max(1, -(-r["docs"] // CHUNK_ROWS))})
     weight = [r["aim"] * r["blocks"] / r["have"] for r in rows]  # slots per token aimed at
     all_w = sum(weight)
-    n = int(min((max(r["cap"] * r["blocks"] - 2, 1) / (w / all_w) for r, w in zip(rows, weight)), default=0))
+    size = min((r["cap"] * r["have"] / r["aim"] for r in rows), default=0)  # tokens of the mixture
+    n = round(size * all_w)
     setting = spark.createDataFrame(
         [(r["source"], r["aim"], r["blocks"], r["cap"], r["have"], r["chunks"]) for r in rows],
         "source string, aim double, blocks long, cap int, have long, chunks long",
