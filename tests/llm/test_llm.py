@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from vocata.llm import canon, chunk, cooccur, crf, langid, mix, neardup, pack, pii, pii_table
+from vocata.llm import canon, chunk, cooccur, crf, langid, mix, neardup, pack, pii, pii_table, queries
 
 
 def rows(df):
@@ -272,15 +272,11 @@ def test_language(spark):
 
 
 def test_subpackage_queries_have_sql_for_known_names():
-    from vocata.llm import queries
-
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
-@pytest.mark.parametrize("name", ["p4_found", "p5_found"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     from oracle import compare
 
-    from vocata.llm import queries
-
     assert compare(spark, name, queries.queries()[name], queries.oracle_sql()[name]) == ""

@@ -42,6 +42,7 @@ def _stripes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names: list[str] = []
     code: dict[str, int] = {}
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    waiting: list[np.ndarray] = []  # pairs not yet counted in, at most about HELD
 
     def emit(keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
         a, b = keys >> 32, keys & 0xFFFFFFFF
@@ -61,22 +62,21 @@ def _stripes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k, rows in by_size.items():
             m = np.stack(rows)
             for i in range(k):  # one item against the rest of its basket at a time: k^2 is never held
-                key = ((m[:, i : i + 1] << 32) | m[:, i:]).ravel()
-                key, n = np.unique(key, return_counts=True)
-                keys, counts = np.r_[keys, key], np.r_[counts, n]
-                if len(keys) > HELD:
-                    keys, counts = _merge(keys, counts)
+                waiting.append(((m[:, i : i + 1] << 32) | m[:, i:]).ravel())
+                if sum(map(len, waiting)) > HELD:
+                    keys, counts = _merge(keys, counts, waiting)
+                    waiting = []
                     if len(keys) > HELD:
                         yield emit(keys, counts)
                         keys, counts = keys[:0], counts[:0]
-        keys, counts = _merge(keys, counts)
+    keys, counts = _merge(keys, counts, waiting)
     if len(keys):
         yield emit(keys, counts)
 
 
-def _merge(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key, at = np.unique(keys, return_inverse=True)
-    return key, np.bincount(at, counts, len(key)).astype(np.int64)
+def _merge(keys: np.ndarray, counts: np.ndarray, waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([keys, *waiting]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([counts, *(np.ones(len(w)) for w in waiting)]), len(key)).astype(np.int64)
 
 
 def llr(n_ab, n_a, n_b, n):
@@ -90,25 +90,31 @@ def llr(n_ab, n_a, n_b, n):
     return F.greatest(F.lit(0.0), 2 * (h(ab, a - ab, b - ab, n - a - b + ab) - h(a, n - a) - h(b, n - b)))
 
 
+#: Chi-square quantile of one degree of freedom at 5 %.
+SIGNIFICANT = 3.84
+
+
 def cooccurrence(baskets: DataFrame) -> DataFrame:
     """``(item_a, item_b, n_ab, n_a, n_b, n_records, lift, llr)`` of all pairs with item_a < item_b.
 
     ``baskets`` is ``(record, items array<string>)`` with distinct items, as
-    :func:`latest_baskets` makes it. No pair is dropped; an empty table gives no rows.
+    :func:`latest_baskets` makes it. No pair is dropped; an empty table gives no rows. What
+    a task emits are stripes, but they are merged element by element (see above), as an
+    array per item would grow with the vocabulary.
     """
-    baskets = cut(baskets.select("items"))
     stripes = baskets.select("items").mapInPandas(_stripes, _STRIPE)
     entry = stripes.select("item", F.explode(F.arrays_zip("neighbours", "counts")).alias("e")).select(
         F.least("item", "e.neighbours").alias("item_a"), F.greatest("item", "e.neighbours").alias("item_b"), F.col("e.counts").alias("n")
     )
     merged = cut(entry.groupBy("item_a", "item_b").agg(F.sum("n").alias("n_ab")))
+    n_records = baskets.count()  # reads the record ids alone
     single = merged.filter("item_a = item_b").select(F.col("item_a").alias("item"), F.col("n_ab").alias("n_item"))
     single = small(single)
     return (
         merged.filter("item_a < item_b")
         .join(single.withColumnsRenamed({"item": "item_a", "n_item": "n_a"}), "item_a")
         .join(single.withColumnsRenamed({"item": "item_b", "n_item": "n_b"}), "item_b")
-        .withColumn("n_records", F.lit(baskets.count()))
+        .withColumn("n_records", F.lit(n_records))
         .withColumn("lift", F.col("n_ab") * F.col("n_records") / (F.col("n_a") * F.col("n_b")))
         .withColumn("llr", llr(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n_records")))
     )
