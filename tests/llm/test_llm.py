@@ -72,6 +72,22 @@ def test_map_to_canonical(spark):
     assert canon.map_to_canonical(spark.createDataFrame([("x",)], "v string"), "v", e.limit(0)).first()["target"] is None
 
 
+def test_edit_distance_brute_force():
+    def slow(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if i * j == 0}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(4)
+    words = ["", *("".join(rng.choices("abcé", k=rng.randrange(8))) for _ in range(200))]
+    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(500)]
+    assert list(canon.edit_distance(*zip(*pairs))) == [slow(a, b) for a, b in pairs]
+
+
 def test_swap_and_another_edit(spark):
     words = ["partition", "variance", "monitoring", "forecasting", "granularity", "seasonality"]
     cases = [("patritio", "partition"), ("vraianc", "variance"), ("mointoribg", "monitoring"), ("frecatsing", "forecasting"), ("ranulraity", "granularity"), ("easonlaity", "seasonality")]

@@ -10,6 +10,10 @@ combined by soft TF-IDF, which ranks whole entries.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,42 +69,70 @@ def _vocabulary_keys(vocab: DataFrame) -> DataFrame:
     return vocab.select("vtoken", F.explode(F.array_distinct(keys)).alias("key"))
 
 
-def _typed_keys(tokens: DataFrame) -> DataFrame:
-    n = F.length("token")
-
-    def for_length(size):
-        def for_segment(i):
-            at = F.floor(size * i / 3).cast("int")
-            width = (F.floor(size * (i + 1) / 3) - F.floor(size * i / 3)).cast("int")
-            shifts = F.filter(F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda s: at + s), lambda p: (p >= 0) & (p + width <= n))
-            return F.transform(shifts, lambda p: F.concat(size.cast("string"), F.lit(":"), i.cast("string"), F.lit(":"), F.col("token").substr(p + 1, width)))
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2)), for_segment))
-
-    segs = F.flatten(F.transform(F.sequence(F.greatest(F.lit(4), n - 2), n + 2), for_length))
-    none = F.array().cast("array<string>")
-    keys = F.concat(
-        F.array(F.concat(F.lit("=:"), F.col("token"))),
-        F.when(n >= 4, segs).otherwise(none),
-        F.when(n >= 7, F.array(F.concat(F.lit("p:"), F.substring("token", 1, 5)))).otherwise(none),
-        F.when(F.col("dotted") & (n >= 3), F.array(F.concat(F.lit("a:"), F.col("token")))).otherwise(none),
-    )
-    return tokens.select("token", "dotted", F.explode(F.array_distinct(keys)).alias("key"))
+def _keys_of(token: str, dotted: bool) -> list[str]:
+    """Keys under which a typed token meets the vocabulary.
 
+    A segment that two edits leave whole is shifted by the letters put in less those taken
+    out before it; with those behind it that makes two at most, so |s| + |d - s| <= 2 for the
+    shift s and the difference in length d.
+    """
+    n, keys = len(token), ["=:" + token]
+    if n >= 4:
+        for size in range(max(4, n - 2), n + 3):
+            cuts = [size * i // 3 for i in range(4)]
+            for s in range(-2, 3):
+                if abs(s) + abs(n - size - s) <= 2:
+                    keys += [f"{size}:{i}:{token[a + s : b + s]}" for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a + s >= 0 and b + s <= n]
+    if n >= 7:
+        keys.append("p:" + token[:5])
+    if dotted and n >= 3:
+        keys.append("a:" + token)
+    return list(dict.fromkeys(keys))
 
-def _distance(lev: Column, most: Column) -> Column:
-    """Edits between token and vtoken, ``lev`` without swaps; up to two swaps of neighbours are one edit each.
 
-    Distances that stay above ``most`` whatever is swapped are left as they are.
-    """
-    two = lambda k: F.concat(F.col("token").substr(k + 1, F.lit(1)), F.col("token").substr(k, F.lit(1)))
-    swap = lambda w, k: F.concat(F.substr(w, F.lit(1), k - 1), two(k), F.substr(w, k + 2))
-    least = lambda words, cost: F.coalesce(F.array_min(F.transform(words, lambda w: F.levenshtein(w, F.col("vtoken")))) + cost, lev)
-    # a swap can only help where the two letters stand the other way round in vtoken
-    spots = F.filter(F.sequence(F.lit(1), F.length("token") - 1), lambda k: F.contains(F.col("vtoken"), two(k)))
-    once = F.transform(spots, lambda k: swap(F.col("token"), k))
-    twice = F.flatten(F.transform(spots, lambda k: F.transform(F.filter(spots, lambda m: m >= k + 2), lambda m: swap(swap(F.col("token"), k), m))))
-    return F.when((lev >= 3) & (lev - 2 <= most), F.least(lev, least(once, 1), least(twice, 2))).otherwise(lev)
+def _typed_keys(tokens: DataFrame) -> DataFrame:
+    keys = F.pandas_udf(lambda t, d: pd.Series([_keys_of(x, y) for x, y in zip(t, d)], dtype=object), "array<string>")
+    return tokens.select("token", "dotted", F.explode(keys("token", "dotted")).alias("key"))
+
+
+def edit_distance(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Edits between each two words, a swap of neighbours counted as one; all pairs of a batch at once, row by row of the table."""
+    n = len(left)
+    la, lb = (np.fromiter(map(len, x), np.int64, n) for x in (left, right))
+    x, y = (np.array(w, dtype=f"U{max(1, m.max(initial=1))}").view(np.uint32).reshape(n, -1) for w, m in ((left, la), (right, lb)))
+    step = np.arange(y.shape[1] + 1, dtype=np.int16)
+    last, row = None, np.tile(step, (n, 1))
+    out = np.where(la == 0, lb, 0).astype(np.int16)
+    for i in range(x.shape[1]):
+        best = np.empty_like(row)
+        best[:, 0] = i + 1
+        best[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (x[:, i : i + 1] != y))
+        if i:
+            swap = (x[:, i : i + 1] == y[:, :-1]) & (x[:, i - 1 : i] == y[:, 1:])
+            best[:, 2:] = np.where(swap, np.minimum(best[:, 2:], last[:, :-2] + 1), best[:, 2:])
+        last, row = row, np.minimum.accumulate(best - step, axis=1) + step  # letters put in, as a running minimum
+        done = la == i + 1
+        out[done] = row[done, lb[done]]
+    return out
+
+
+def _similar(floor: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a, b = (pdf[c].str.len().to_numpy() for c in ("token", "vtoken"))
+            order = np.argsort(np.maximum(a, b), kind="stable")
+            sim = np.zeros(len(pdf))
+            token, vtoken = pdf["token"].to_numpy(), pdf["vtoken"].to_numpy()
+            for at in range(0, len(pdf), 2000):  # words of like length together, so that little is padded
+                part = order[at : at + 2000]
+                sim[part] = 1 - edit_distance(list(token[part]), list(vtoken[part])) / np.maximum(a[part], b[part])
+            strict = (np.minimum(a, b) <= 3) | pdf["vtoken"].str.contains(r"[0-9]$").to_numpy()
+            sim[strict & (token != vtoken)] = 0.0
+            begins = np.fromiter((d and n >= 3 and v.startswith(t) for d, n, t, v in zip(pdf["dotted"], a, token, vtoken)), bool, len(pdf))
+            sim = np.maximum(sim, np.where(begins, 0.9, 0.0))
+            yield pdf.assign(sim=sim)[sim >= floor]
+
+    return run
 
 
 def repair_tokens(tokens: DataFrame, vocab: DataFrame, floor: float = 0.55) -> DataFrame:
@@ -110,18 +142,11 @@ def repair_tokens(tokens: DataFrame, vocab: DataFrame, floor: float = 0.55) -> D
     of three letters or fewer and codes that end with a digit allow no edit. A token with a
     full stop also means every word it begins, at 0.9. All pairs within two edits are found.
     """
-    pairs = _typed_keys(tokens).join(small(_vocabulary_keys(vocab)), "key").select("token", "dotted", "vtoken").distinct()
     a, b = F.length("token"), F.length("vtoken")
-    lev = F.levenshtein("token", "vtoken")
-    letters = lambda c: F.array_sort(F.split(F.col(c), ""))
-    swapped = (lev == 2) & (a == b) & (letters("token") == letters("vtoken"))
-    code = F.col("vtoken").rlike("[0-9]$")
-    strict = (F.least(a, b) <= 3) | code
-    d = F.when(swapped, 1).when(strict, lev).otherwise(_distance(lev, (1 - floor) * F.greatest(a, b)))
-    sim = F.when(~strict | (F.col("token") == F.col("vtoken")), 1 - d / F.greatest(a, b)).otherwise(F.lit(0.0))
-    begins = F.col("dotted") & (a >= 3) & F.startswith("vtoken", F.col("token"))
-    sim = F.greatest(sim, F.when(begins, 0.9).otherwise(0.0))
-    return pairs.withColumn("sim", sim).filter(F.col("sim") >= floor)
+    # no number of edits makes up for a difference in length above what the floor allows
+    near = (F.abs(a - b) <= (1 - floor) * F.greatest(a, b)) | (F.col("dotted") & F.startswith("vtoken", F.col("token")))
+    pairs = _typed_keys(tokens).join(small(_vocabulary_keys(vocab)), "key").select("token", "dotted", "vtoken").filter(near).distinct()
+    return pairs.mapInPandas(_similar(floor), "token string, dotted boolean, vtoken string, sim double")
 
 
 def map_to_canonical(values: DataFrame, value: str, entries: DataFrame, coverage: float = 0.8, cosine: float = 0.6, single: float = 0.8) -> DataFrame:
@@ -134,7 +159,7 @@ def map_to_canonical(values: DataFrame, value: str, entries: DataFrame, coverage
     have one result. Blank, wordless and unmatched values, and any value against an empty
     list, have a null target. Values may repeat; each is mapped once.
     """
-    typed = values.select(F.col(value).alias("value")).filter("value IS NOT NULL").distinct()
+    typed = cut(values.select(F.col(value).alias("value")).filter("value IS NOT NULL").distinct())
     entries = cut(entries)
     n = entries.select("entry").distinct().count()
     vocab = cut(entries.groupBy("token").agg(F.countDistinct("entry").alias("df")).select(F.col("token").alias("vtoken"), F.log(1 + n / F.col("df")).alias("w")))
@@ -151,6 +176,7 @@ def map_to_canonical(values: DataFrame, value: str, entries: DataFrame, coverage
     spelt = spelt.withColumn("b", bare).select(
         "value", F.concat(F.transform("t", lambda x: F.struct(F.rtrim(x, F.lit(".")).alias("token"), F.endswith(x, F.lit(".")).alias("dotted"), F.lit(False).alias("glued"))), F.transform(glued, lambda x: F.struct(x.alias("token"), F.lit(False).alias("dotted"), F.lit(True).alias("glued")))).alias("w")
     ).select("value", F.explode("w").alias("w")).select("value", "w.*")
+    spelt = cut(spelt)  # read twice: for the distinct tokens and for what each value is made of
     # few bytes but much work for each token: spread them over all tasks, whatever their size
     tokens = spelt.select("token", "dotted").distinct().repartition(parallelism(typed))
     repaired = repair_tokens(tokens, vocab.select("vtoken")).join(small(vocab), "vtoken")
