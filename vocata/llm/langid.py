@@ -25,8 +25,19 @@ from . import crf
 LANGUAGES = ("en", "fr", "de", "es", "pt", "nl")
 CODES = {"en": "en", "fr": "fr", "de": "de", "es": "es", "pt": "pt", "nl": "nl", "eng": "en", "fra": "fr", "deu": "de", "spa": "es", "por": "pt", "nld": "nl"}
 ENGLISH_NAMES = {"english": "en", "french": "fr", "german": "de", "spanish": "es", "portuguese": "pt", "dutch": "nl"}
-#: Labelled documents taken for training, and characters of each of them.
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 4000
+# Frequent function words of each language, its lexicon.
+LEXICON = {
+    "en": "the and of to in is that for with was are this from have not you we they which their would about",
+    "fr": "le la les des et une est pour dans que qui avec sur pas nous vous ils sont être cette mais leur",
+    "de": "der die das und ist nicht mit für ein eine von zu den im wir sie auf auch werden haben wird dass",
+    "es": "el los las una y es para con que por del como más pero sus está son esta nos sin muy también",
+    "pt": "o os as um uma e é para com que por não do da dos mais mas são está nos sem muito também",
+    "nl": "de het een en van is niet met voor op dat zijn wij je ook maar wordt hebben deze naar bij uit",
+}
+#: Labelled documents taken for training at most, and the longest text that may be one of them.
+SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
+#: A sentence is relabelled if the word counts make another language likelier by this much (natural logarithm).
+CLEARLY = 2.0
 _WORD = re.compile(r"[^\W\d_]+")
 _END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s|$)|[\r\n\x0b\x0c\x85\u2028\u2029]+|(?<=\s)[-*•▪●◦·🔹]+(?=\s)")
 
@@ -61,13 +72,20 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return trimmed
 
 
+_IN_LEXICON: dict[str, list[str]] = {}
+for _lang, _words in LEXICON.items():
+    for _w in _words.split():
+        _IN_LEXICON.setdefault(_w, []).append(_lang)
+
+
 def word_features(word: str) -> list[str]:
     w = f"^{word}$"
-    return [f"w={word}", *(f"p={word[:i]}" for i in (2, 3, 4) if len(word) >= i), *(f"s={word[-i:]}" for i in (2, 3, 4) if len(word) >= i), *{f"g={w[i:i + 3]}" for i in range(len(w) - 2)}]
+    known = [f"lex={lang}" for lang in _IN_LEXICON.get(word, ())]
+    return [f"w={word}", *known, *(f"p={word[:i]}" for i in (2, 3, 4) if len(word) >= i), *(f"s={word[-i:]}" for i in (2, 3, 4) if len(word) >= i), *{f"g={w[i:i + 3]}" for i in range(len(w) - 2)}]
 
 
 def _split(text: str) -> list[tuple[int, int, list[str]]]:
-    return [(a, b, [w.lower() for w in _WORD.findall(text[a:b])]) for a, b in sentences(text)]
+    return [(a, b, _WORD.findall(text[a:b].lower())) for a, b in sentences(text)]
 
 
 @lru_cache(maxsize=4)
@@ -75,10 +93,11 @@ def train(labelled: tuple[tuple[str, str], ...], epochs: int = 6, seed: int = 5)
     """A model from ``(text, language)`` rows whose labels may be wrong in part.
 
     Word counts by label give each sentence a likely language; sentences that clearly
-    speak against the label of their document are relabelled, and sentences of several
-    documents are chained, so transitions between languages are seen in training.
+    speak against the label of their document are relabelled. Two in five documents are
+    paired and one to four successive sentences of each are chained, so transitions
+    between languages are seen in training.
     """
-    docs = [(LANGUAGES.index(lang), _split(text[:SAMPLE_CHARS])) for text, lang in labelled]
+    docs = [(LANGUAGES.index(lang), _split(text)) for text, lang in labelled]
     counts = [Counter() for _ in LANGUAGES]
     for lang, parts in docs:
         for _, _, words in parts:
@@ -100,14 +119,18 @@ def train(labelled: tuple[tuple[str, str], ...], epochs: int = 6, seed: int = 5)
             if words:
                 total = np.sum([score(w) for w in words], axis=0)
                 best = int(total.argmax())
-                chain.append((words, best if total[best] - total[lang] > 2 or len(words) > 3 else lang))
+                chain.append((words, best if total[best] - total[lang] > CLEARLY else lang))
         if chain:
             chains.append(chain)
     order = rng.permutation(len(chains))
     sequences, i = [], 0
     while i < len(order):
         n = 1 if rng.random() < 0.6 else 2
-        sequences.append([s for j in order[i : i + n] for s in (chains[j] if n == 1 else chains[j][: int(rng.integers(1, 5))])])
+        part = []
+        for j in order[i : i + n]:
+            at = int(rng.integers(len(chains[j]))) if n > 1 else 0
+            part += chains[j][at : at + int(rng.integers(1, 5))] if n > 1 else chains[j]
+        sequences.append(part)
         i += n
     code: dict[str, int] = {}
     form, gold, lengths = [], [], []
@@ -142,7 +165,7 @@ class Tagger:
             for w in fresh:
                 self.code[w] = len(self.code)
             self.table = np.concatenate([self.table, self.model.tables([word_features(w) for w in fresh])[0]])
-        form = np.fromiter((self.code[w] for w in words), np.int64, len(words))
+        form = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
         lengths = np.array([sum(len(ws) for _, _, ws in parts) for parts in split], np.int64)
         starts = np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
         post = np.zeros((len(words), len(LANGUAGES)))
@@ -154,25 +177,31 @@ class Tagger:
             p, _, _ = crf.forward_backward(cells, lengths[k], m.trans, m.first, m.last)
             inside = np.arange(len(cells))[:, None] < lengths[k][None, :]
             post[index[inside]] = p[inside]
-        out = []
+        # mean of the words of each sentence, and the likeliest language
+        sizes = np.array([len(ws) for parts in split for _, _, ws in parts if ws], np.int64)
+        heads = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
+        means = np.add.reduceat(post, heads, axis=0) / sizes[:, None] if len(sizes) else post
+        bests, tops = means.argmax(axis=1).tolist() if len(sizes) else [], means.max(axis=1).tolist() if len(sizes) else []
+        out, s = [], -1
         for d, parts in enumerate(split):
             at, runs, chars = int(starts[d]), [], np.zeros(len(LANGUAGES))
             sure = np.zeros(len(LANGUAGES))
             for a, b, ws in parts:
                 if not ws:
                     continue
-                p = post[at : at + len(ws)].mean(axis=0)
+                s += 1
                 at += len(ws)
-                best = int(p.argmax())
-                if len(ws) <= 2 and p[best] < 0.75:  # a heading that could be either
+                best, top = bests[s], tops[s]
+                if len(ws) <= 2 and top < 0.75:  # a heading that could be either
                     best = runs[-1][2] if runs else int(post[at : at + 8].sum(axis=0).argmax()) if at < starts[d] + lengths[d] else best
+                    top = float(means[s, best])
                 chars[best] += b - a
-                sure += p * (b - a)
+                sure += means[s] * (b - a)
                 if runs and runs[-1][2] == best:
                     runs[-1][1] = b
-                    runs[-1][3].append((b - a, p[best]))
+                    runs[-1][3].append((b - a, top))
                 else:
-                    runs.append([a, b, best, [(b - a, p[best])]])
+                    runs.append([a, b, best, [(b - a, top)]])
             if not runs:
                 out.append((None, 0.0, []))
                 continue

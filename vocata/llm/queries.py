@@ -133,9 +133,13 @@ def p8_shares(spark, sf):
 def p9_tagged(spark, sf):
     """The model is trained on a bounded sample of the documents whose label names a language."""
     docs = table(spark, sf, "documents")
-    labelled = docs.select("doc_id", F.substring("text", 1, langid.SAMPLE_CHARS).alias("text"), langid.label_language(F.col("lang")).alias("lang")).dropna().distinct()
-    rows = labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(langid.SAMPLE_DOCS).collect()
-    model = langid.train(tuple((r["text"], r["lang"]) for r in rows))
+    # ids are chosen first, from narrow columns and by a threshold of their hash; only their texts are then fetched
+    share = min(1.0, 4 * langid.SAMPLE_DOCS / max(1, docs.count()))
+    ids = docs.filter(langid.label_language(F.col("lang")).isNotNull() & (F.col("n_chars") <= langid.SAMPLE_CHARS)).select("doc_id").dropna()
+    ids = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(langid.SAMPLE_DOCS)
+    labelled = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", langid.label_language(F.col("lang")).alias("lang")).dropna()
+    rows = sorted({(r["doc_id"], r["text"], r["lang"]) for r in labelled.collect()})
+    model = langid.train(tuple((text, lang) for _, text, lang in rows))
     return langid.tag(docs, "doc_id", "text", "lang", model)
 
 
