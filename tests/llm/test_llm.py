@@ -156,7 +156,7 @@ def test_groups_of_a_chain(spark):
     members = spark.range(1, 41).select(F.concat(F.lit("i"), "id").alias("item"), F.col("id").alias("cls"))
     links = spark.range(1, 40).filter("id != 20").select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("similarity"))
     got = {r["item"]: r["group_id"] for r in neardup.groups(members, links).collect()}
-    assert {got[f"i{i}"] for i in range(1, 21)} == {1} and {got[f"i{i}"] for i in range(21, 41)} == {21}
+    assert {got[f"i{i}"] for i in range(1, 21)} == {"i1"} and {got[f"i{i}"] for i in range(21, 41)} == {"i21"}
 
 
 # packing and mixing
@@ -295,4 +295,5 @@ def test_subpackage_queries_have_sql_for_known_names():
 def test_sql(spark, name):
     from oracle import compare
 
-    assert compare(spark, name, queries.queries()[name], queries.oracle_sql()[name]) == ""
+    sf = "sf0.01" if name == "p8_check" else "sf0.001"  # too few documents to meet any share
+    assert compare(spark, name, queries.queries()[name], queries.oracle_sql()[name], sf) == ""

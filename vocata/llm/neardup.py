@@ -242,7 +242,7 @@ def linked_items(members: DataFrame, links: DataFrame, full: int = 50) -> DataFr
 
 
 def groups(members: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(item, group_id, n_links)`` for every member: connected classes, named by their least class.
+    """``(item, group_id, n_links)`` for every member: connected classes, named by their least item.
 
     Large-star and small-star steps until nothing changes; each round is a pair of hash
     aggregates and is cut with checkpoint(). ``n_links`` is the number of other classes that
@@ -265,8 +265,10 @@ def groups(members: DataFrame, links: DataFrame, max_rounds: int = 50) -> DataFr
     else:
         raise RuntimeError("components did not settle")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    return (
-        members.join(edges.groupBy("u").agg(F.min("v").alias("v")).withColumnRenamed("u", "cls"), "cls", "left")
-        .join(degree, "cls", "left")
-        .select("item", F.coalesce("v", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    # a row per class first, so that neither copies nor large groups meet in one task
+    classes = members.groupBy("cls").agg(F.min("item").alias("rep")).join(edges.groupBy("u").agg(F.min("v").alias("v")).withColumnRenamed("u", "cls"), "cls", "left")
+    classes = cut(classes.select("cls", "rep", F.coalesce("v", "cls").alias("root")))
+    names = classes.groupBy("root").agg(F.min("rep").alias("group_id"), F.count("*").alias("n"))
+    grouped = small(names.filter("n > 1").select("root", "group_id"), ID_ROWS)
+    named = classes.join(grouped, "root", "left").join(degree, "cls", "left").select("cls", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(named, "cls").select("item", "group_id", "n_links")

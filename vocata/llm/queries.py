@@ -65,6 +65,18 @@ def p3_groups(spark, sf):
     return neardup.groups(members.select("item", "cls"), links).withColumnRenamed("item", "jd_id")
 
 
+def p4_check(spark, sf):
+    """What the pieces of each item must keep to: none above the limit, exact overlaps, the whole text covered."""
+    size, overlap = limits(spark, sf, "raw_text_piece")
+    p = chunk.split_oversized(raw_items(spark, sf), ["src_table", "item_key"], "raw_text", size, overlap)
+    keys = ["src_table", "item_key"]
+    repeats = F.sum(F.when(F.col("piece_no") > 0, overlap).otherwise(0))  # a piece but the first repeats so much of the one before
+    return p.groupBy(*keys).agg(
+        (F.max(F.length("piece")) <= size).alias("within_limit"), (F.max("end") == F.sum(F.length("piece")) - repeats).alias("covered"),
+        F.max("end").cast("bigint").alias("n_chars"), (F.max("n_pieces") > 1).alias("divided"),
+    ).filter("n_chars > 0")
+
+
 def p4_pieces(spark, sf):
     size, overlap = limits(spark, sf, "raw_text_piece")
     return chunk.split_oversized(raw_items(spark, sf), ["src_table", "item_key"], "raw_text", size, overlap)
@@ -118,6 +130,17 @@ def p7_containers(spark, sf):
     return pack.containers(p7_pack(spark, sf).withColumnRenamed("n_tokens", "size"), size)
 
 
+def p7_check(spark, sf):
+    """What the containers must keep to, as one row: every document once, none above the capacity, only oversized ones divided."""
+    size, _ = limits(spark, sf, "token_container")
+    packed = p7_pack(spark, sf)
+    box = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("fill"))
+    item = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"))
+    fill = box.agg((F.max("fill") <= size).alias("within_capacity"), (F.sum("fill") / (F.count("*") * size) > 0.9).alias("well_filled"))
+    docs = item.agg(F.count("*").alias("n_docs"), (F.sum((F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("n") / size))).cast("int")) == 0).alias("divided_only_if_oversized"))
+    return docs.withColumn("_k", F.lit(1)).join(fill.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
 def _mixed(spark, sf):
     return mix.mix(mix.sized_texts(table(spark, sf, "documents"), "doc_id", "text", "source"), table(spark, sf, "mix_targets"))
 
@@ -130,6 +153,20 @@ def p8_shares(spark, sf):
     return _mixed(spark, sf)[1]
 
 
+def p8_check(spark, sf):
+    """For each source that can be used: its cap is kept, no text comes twice, its share is within a point of the aim."""
+    chosen, shares = _mixed(spark, sf)
+    n = chosen.groupBy("source").agg(F.max("repeats").alias("most"), F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"))
+    rows = shares.filter("aim_share IS NOT NULL").join(n, "source", "left")
+    return rows.select("source", "max_repeats", (F.col("most") <= F.col("max_repeats")).alias("cap_kept"), (F.col("n") == F.col("d")).alias("once"), (F.abs(F.col("actual_share") - F.col("aim_share")) <= 0.01).alias("share_met"), F.round("aim_share", 6).alias("aim_share"))
+
+
+def p9_labels(spark, sf):
+    """The language that each distinct label names, null if it names none."""
+    docs = table(spark, sf, "documents")
+    return docs.groupBy("lang").agg(F.count("*").alias("n_rows")).select("lang", langid.label_language(F.col("lang")).alias("named"), "n_rows")
+
+
 def p9_tagged(spark, sf):
     """The model is trained on a bounded sample of the documents whose label names a language."""
     docs = table(spark, sf, "documents")
@@ -157,7 +194,7 @@ def p9_languages(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_scrubbed, p3_found, p3_groups, p4_found, p4_pieces, p5_found, p5_pairs, p6_found, p7_pack, p7_containers, p8_mix, p8_shares, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p2_found, p2_scrubbed, p3_found, p3_groups, p4_found, p4_pieces, p4_check, p5_found, p5_pairs, p6_found, p7_pack, p7_containers, p7_check, p8_mix, p8_shares, p8_check, p9_found, p9_languages, p9_labels)}
 
 
 _BASKETS = r"""
@@ -190,11 +227,41 @@ _FOUND = """SELECT src_table, skill_a, skill_b FROM two JOIN one a ON a.item = s
 WHERE n_ab >= 5 AND 1000 * n_ab >= 8 * n_records AND n_ab * n_records >= 3 * a.n * b.n"""
 
 
+# every pair of adverts by its sets of three successive words, and the groups that the pairs form
+_NEAR = r"""WITH RECURSIVE t AS (SELECT DISTINCT jd_id, raw_text FROM raw_jd WHERE jd_id IS NOT NULL AND raw_text IS NOT NULL),
+x AS (SELECT raw_text, row_number() OVER (ORDER BY raw_text) AS cls FROM (SELECT DISTINCT raw_text FROM t)),
+w AS (SELECT cls, regexp_extract_all(lower(raw_text), '[\p{L}\p{N}_]+') AS w FROM x),
+s AS (SELECT DISTINCT cls, unnest(list_transform(range(1, len(w) - 1), lambda i: hash(w[i], w[i + 1], w[i + 2]))) AS g FROM w WHERE len(w) >= 3),
+n AS (SELECT cls, count(*) AS n FROM s GROUP BY cls),
+cand AS (SELECT a.cls AS a, b.cls AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.cls < b.cls GROUP BY ALL),
+link AS (SELECT a, b FROM cand JOIN n x ON x.cls = a JOIN n y ON y.cls = b WHERE k >= 0.7 * (x.n + y.n - k) - 1e-9),
+mem AS (SELECT t.jd_id AS item, x.cls FROM t JOIN x USING (raw_text)),
+"""
+_NEAR_PAIRS = _NEAR + """pair AS (SELECT p.item AS x, q.item AS y FROM link JOIN mem p ON p.cls = a JOIN mem q ON q.cls = b
+  UNION SELECT p.item, q.item FROM mem p JOIN mem q ON p.cls = q.cls AND p.item < q.item JOIN n ON n.cls = p.cls)
+SELECT DISTINCT least(x, y) AS jd_id_a, greatest(x, y) AS jd_id_b FROM pair WHERE x <> y"""
+_NEAR_GROUPS = _NEAR + """edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT cls AS a, cls AS b FROM x UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+named AS (SELECT r.a AS cls, min(m.item) AS group_id FROM reach r JOIN mem m ON m.cls = r.b GROUP BY 1)
+SELECT m.item AS jd_id, named.group_id, coalesce(d.n, 0) AS n_links FROM mem m JOIN named USING (cls) LEFT JOIN (SELECT a, count(*) AS n FROM edge GROUP BY 1) d ON d.a = m.cls"""
+_ISO = ", ".join(f"('{k}', '{v}')" for k, v in (langid.CODES | langid.ENGLISH_NAMES).items())
+
+
 def oracle_sql() -> dict[str, str]:
     both = [("synthetic_resume", "resume_id", "skills"), ("synthetic_jd", "jd_id", "required_skills")]
     return {
         "p4_found": """SELECT DISTINCT 'resume_document' AS src_table, doc_id AS item_key FROM resume_document WHERE length(raw_text) > 4000
 UNION ALL SELECT DISTINCT 'raw_jd', jd_id FROM raw_jd WHERE length(raw_text) > 4000""",
+        "p3_found": _NEAR_PAIRS,
+        "p3_groups": _NEAR_GROUPS,
+        "p4_check": " UNION ALL ".join(
+            f"SELECT DISTINCT '{t}' AS src_table, {k} AS item_key, true AS within_limit, true AS covered, max(length(raw_text)) AS n_chars, max(length(raw_text)) > (SELECT max_size FROM size_limits WHERE limit_name = 'raw_text_piece') AS divided FROM {t} WHERE length(raw_text) > 0 GROUP BY {k}" for t, k in ITEMS
+        ),
+        "p7_check": "SELECT count(DISTINCT doc_id) AS n_docs, true AS divided_only_if_oversized, true AS within_capacity, true AS well_filled FROM documents",
+        "p8_check": """SELECT source, max_repeats, true AS cap_kept, true AS once, true AS share_met, round(target_share / sum(target_share) OVER (), 6) AS aim_share
+FROM (SELECT source, max(target_share) AS target_share, max(max_repeats) AS max_repeats FROM mix_targets GROUP BY 1) WHERE source IN (SELECT source FROM documents WHERE text <> '') AND target_share > 0 AND max_repeats > 0""",
+        "p9_labels": f"""SELECT lang, n.language AS named, count(*) AS n_rows FROM documents LEFT JOIN (VALUES {_ISO}) n(code, language)
+ON n.code = lower(trim(lang)) OR (length(n.code) <= 3 AND regexp_matches(lower(trim(lang)), '^' || n.code || '[-_][a-z0-9]+$')) GROUP BY ALL""",
         "p5_found": " UNION ALL ".join(_pairs_sql(*x, _FOUND) for x in both),
         "p5_pairs": " UNION ALL ".join(_pairs_sql(*x, _PAIRS) for x in both),
     }
