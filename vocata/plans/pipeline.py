@@ -10,6 +10,7 @@ from ..operators import documents as d
 from ..operators import evaluate, merge, quality, similarity
 from ..session import table, table_names
 from . import model as m
+from . import text_sql
 
 TABLES = ("skill_taxonomy", "skills", "skill_alias", "candidates", "candidate_skills", "resume_document", "raw_jd", "skill_hits", "synthetic_resume", "synthetic_jd")
 
@@ -430,4 +431,4 @@ UNION ALL SELECT 'alias_of_two', lower(trim(alias_text, ' ')) FROM skill_alias W
         "status_flip": "SELECT doc_id, CASE WHEN max(CASE WHEN regexp_matches(coalesce(raw_text, ''), '\\S') THEN 1 ELSE 0 END) = 1 THEN 'parsed' ELSE 'failed' END AS parsed_status FROM resume_document GROUP BY 1",
         "upsert_jobs": "SELECT sha256(job_id) AS content_hash, job_id, job_title, CASE WHEN job_id < 'p' THEN 'Unknown' ELSE company END AS company, role_id FROM job",
     }
-    return {k: m.MODEL_SQL + (", " + v if k.startswith("eval_prf") else v) for k, v in q.items()}
+    return {k: m.MODEL_SQL + (", " + v if k.startswith("eval_prf") else v) for k, v in q.items()} | text_sql.with_steps(m.MODEL_SQL)
