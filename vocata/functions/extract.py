@@ -121,3 +121,13 @@ def role(title: Column, hints: dict[str, str] | None = None, default: str = DEFA
     for hint, role_id in reversed(list((hints or ROLE_HINTS).items())):
         out = F.when(t.contains(hint), role_id).otherwise(out)
     return out
+
+
+def bullet_text(line: Column) -> Column:
+    """The line without hyphens and spaces before it."""
+    return F.regexp_replace(line, "^[- ]+", "")
+
+
+def synthetic_email(doc_id: Column) -> Column:
+    """The address that a profile without one gets from its id."""
+    return F.concat(doc_id, F.lit("@synthetic.local"))

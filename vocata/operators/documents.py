@@ -154,6 +154,25 @@ def project_entries(sections: DataFrame) -> DataFrame:
     return r.groupBy("doc_id", "entry").agg(F.coalesce(F.max(F.when(F.col("starts"), F.col("t"))), F.lit("")).alias("name"), F.coalesce(F.max_by(F.when(~F.col("starts"), F.col("t")), F.when(~F.col("starts"), F.col("pos"))), F.lit("")).alias("description"))
 
 
+def project_skills(sections: DataFrame, index: DataFrame) -> DataFrame:
+    """``(doc_id, entry, name, tech_stack)``: the skills in the last line of each project's text, as a JSON array."""
+    w = W.partitionBy("doc_id").orderBy("pos")
+    r = sections.filter("section = 'projects'").withColumn("t", x.strip(F.col("text"))).filter("t != ''")
+    r = r.withColumn("starts", (F.col("kind") == "subheading") | F.startswith(F.lower("t"), F.lit("project:"))).withColumn("entry", F.sum(F.col("starts").cast("int")).over(w))
+    last = r.groupBy("doc_id", "entry").agg(F.coalesce(F.max(F.when(F.col("starts"), F.col("t"))), F.lit("")).alias("name"), F.max(F.when(~F.col("starts"), F.col("pos"))).alias("pos"))
+    hits = match_skills(sections.filter("section = 'projects'"), index).groupBy("doc_id", "pos").agg(F.array_sort(F.collect_set("canonical_id")).alias("found"))
+    none = F.array().cast("array<string>")
+    return last.join(hits, ["doc_id", "pos"], "left").select("doc_id", "entry", "name", F.to_json(F.coalesce("found", none)).alias("tech_stack"))
+
+
+def parse_outcome(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``(doc_id, error, outcome, n_rows)``: rows that can be parsed, and those that fail with the reason."""
+    t = F.col(text)
+    error = F.when(t.isNull(), "no text").when(~t.rlike(r"\S"), "empty text")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), error.alias("error"))
+    return rows.groupBy("doc_id", "error", F.when(F.col("error").isNull(), "parsed").otherwise("failed").alias("outcome")).agg(F.count("*").alias("n_rows"))
+
+
 def certificate_entries(sections: DataFrame) -> DataFrame:
     rows = sections.filter("section = 'certifications'").withColumn("c", x.certificate(F.col("text")))
     return rows.select("doc_id", "pos", "c.*")

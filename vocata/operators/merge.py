@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,3 +56,8 @@ def flip_status(existing: DataFrame, done: DataFrame, failed: DataFrame, key: st
     f = failed.select(key).distinct().withColumn("_f", F.lit(True))
     new = F.when(F.col("_f"), "failed").when(F.col("_d") & (F.col(status) == "pending"), "parsed").otherwise(F.col(status))
     return existing.join(d, key, "left").join(f, key, "left").withColumn(status, new).select(*existing.columns)
+
+
+def or_default(value: Column, default: str | None) -> Column:
+    """The value without spaces around it, or the default (or null) where it is null or blank."""
+    return F.coalesce(F.nullif(F.trim(value), F.lit("")), F.lit(default).cast("string"))

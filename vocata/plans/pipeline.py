@@ -28,7 +28,9 @@ def _index(s, sf):
 
 
 def _texts(s, sf):
-    return table(s, sf, "raw_jd").select(F.col("jd_id").alias("doc_id"), "raw_text").filter("raw_text IS NOT NULL").distinct()
+    """Every text of adverts and resumes once."""
+    adverts = table(s, sf, "raw_jd").select(F.col("jd_id").alias("doc_id"), "raw_text")
+    return adverts.unionByName(table(s, sf, "resume_document").select("doc_id", "raw_text")).filter("raw_text IS NOT NULL").distinct()
 
 
 def _over(column):
@@ -48,7 +50,7 @@ def block_kind(s, sf):
 
 
 def doc_lines(s, sf):
-    return _adverts(s, sf).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return d.document_lines(_texts(s, sf), "doc_id", "raw_text").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
 def scrub_pii(s, sf):
@@ -133,7 +135,10 @@ def split_title_company(s, sf):
 
 
 def parse_month_date(s, sf):
-    shown = table(s, sf, "orders").select(F.date_format("o_orderdate", "MMM yyyy").alias("text")).distinct()
+    """Month and year, a bare year, an unknown month, and what is no date."""
+    at = F.col("o_orderdate")
+    forms = F.array(F.date_format(at, "MMM yyyy"), F.date_format(at, "yyyy"), F.concat(F.lit("Xyz "), F.date_format(at, "yyyy")), F.col("o_orderpriority"))
+    shown = table(s, sf, "orders").select(F.explode(forms).alias("text")).distinct()
     return shown.select("text", t.month_date(F.col("text")).alias("day"))
 
 
@@ -148,7 +153,8 @@ def jd_header(s, sf):
 
 
 def jd_years(s, sf):
-    return m.jobs(s, sf).select("job_id", x.years(F.concat(F.col("min_years_experience").cast("string"), F.lit("-9 years or 2+ years"))).alias("years_min"))
+    """Years asked for in each line of an advert that names some."""
+    return _adverts(s, sf).select("doc_id", "pos", x.years(F.col("text")).alias("years")).filter("years IS NOT NULL")
 
 
 def jd_text_years(s, sf):
@@ -158,11 +164,27 @@ def jd_text_years(s, sf):
 
 
 def jd_seniority(s, sf):
-    return m.jobs(s, sf).select("job_id", x.seniority(F.col("job_title"), F.col("min_years_experience")).alias("seniority"))
+    """From the title line and the requirement lines of each advert."""
+    rows = jd_header(s, sf).join(jd_text_years(s, sf), "doc_id")
+    return rows.select("doc_id", "job_title", "years_min", x.seniority(F.col("job_title"), F.col("years_min")).alias("seniority"))
 
 
 def jd_role(s, sf):
-    return m.jobs(s, sf).select("job_id", x.role(F.col("job_title"), {"revenue": "revenue_analyst", "pipeline": "pipeline_engineer", "model": "model_engineer"}).alias("role_id"))
+    """Role of each title by the hints of the engine, and by hints given for the roles of these tables."""
+    given = {"revenue": "revenue_analyst", "pipeline": "pipeline_engineer", "model": "model_engineer"}
+    title = F.col("job_title")
+    return jd_header(s, sf).select("doc_id", x.role(title).alias("role_id"), x.role(title, given).alias("given_role_id"))
+
+
+def jd_bullets(s, sf):
+    """Responsibilities and requirements of each advert without their bullet signs."""
+    rows = d.segment_jd(_adverts(s, sf)).filter(F.col("section").isin("responsibilities", "requirements"))
+    return rows.select("doc_id", "section", "pos", x.bullet_text(F.col("text")).alias("text"))
+
+
+def project_skills(s, sf):
+    """Skills of each project as a JSON array, as the last line of its text names them."""
+    return d.project_skills(d.segment(_resumes(s, sf)), _index(s, sf))
 
 
 def parse_resume(s, sf):
@@ -276,7 +298,15 @@ def dq_taxonomy_link(s, sf):
 
 
 def dq_email_domain(s, sf):
-    return m.candidates(s, sf).filter("email NOT LIKE '%.example'").select("id", "email")
+    """Candidates whose address is not on the domain that the loader writes."""
+    return m.candidates(s, sf).filter("email NOT LIKE '%@postkorb.example'").select("id", "email")
+
+
+def dq_reserved_rows(s, sf):
+    """A check whose rule can never hold (an empty relation to the optimizer) beside one that can, as counts."""
+    skills = m.skills(s, sf)
+    none = skills.filter(F.lit(False)).agg(F.count("*").alias("n")).select(F.lit("never").alias("rule"), "n")
+    return none.unionByName(skills.filter("taxonomy_id IS NULL").agg(F.count("*").alias("n")).select(F.lit("no_taxonomy").alias("rule"), "n"))
 
 
 def dedup_exact(s, sf):
@@ -346,29 +376,76 @@ def upsert_jobs(s, sf):
 
 
 def manifest_upsert(s, sf):
-    n = table(s, sf, "raw_jd").filter("file_format IS NOT NULL").groupBy(F.lower("file_format").alias("batch")).agg(F.count("*").alias("n"))
-    old = n.withColumn("n", F.lit(0).cast("long"))
-    return merge.upsert(old, n, ["batch"], ["n"], ["n"])
+    """The manifest of the resume formats, replaced batch by batch where the adverts have one of the name."""
+    count = lambda t: table(s, sf, t).filter("file_format IS NOT NULL").groupBy(F.lower("file_format").alias("batch")).agg(F.count("*").alias("n"))
+    return merge.upsert(count("resume_document").withColumn("n", -F.col("n")), count("raw_jd"), ["batch"], ["n"], ["n"])
+
+
+def _label_pairs(s, sf):
+    lab = m.labels(s, sf).select("resume_id", F.explode("skills").alias("canonical_id"))
+    return lab.join(m.skills(s, sf).select("canonical_id", F.col("id").alias("skill_id")), "canonical_id", "left")
+
+
+def link_unknown_skills(s, sf):
+    """Skills of labels that no skill row names: counted and left out when labels are linked."""
+    return _label_pairs(s, sf).groupBy("canonical_id").agg(F.count_if(F.col("skill_id").isNull()).alias("unknown"), F.count_if(F.col("skill_id").isNotNull()).alias("linked"))
+
+
+def replace_job_skills(s, sf):
+    """Job skills after delivery of the adverts of the second half: theirs replaced as a whole, the others kept.
+
+    The store holds the required skills alone; what is delivered brings preferred ones as well.
+    """
+    every = m.job_skills(s, sf).select("job_id", "skill_id", "importance", "is_required")
+    return merge.replace_children(every.filter("is_required = 1"), every.filter("job_id >= 'p'"), "job_id")
+
+
+def write_defaults(s, sf):
+    """Values that are written where a candidate has none."""
+    return m.candidates(s, sf).select("id", *[merge.or_default(F.col(c), v).alias(c) for c, v in (("full_name", "Unknown"), ("seniority_band", "fresher"), ("source", "synthetic"), ("location", None), ("phone", None))])
+
+
+def parse_outcome(s, sf):
+    """Every resume row with what became of it: a document that fails has an error and stops no other."""
+    return d.parse_outcome(table(s, sf, "resume_document"), "doc_id", "raw_text")
+
+
+def label_emails(s, sf):
+    """The address that a candidate loaded from a label gets."""
+    return m.labels(s, sf).select("resume_id", x.synthetic_email(F.col("resume_id")).alias("email"))
+
+
+def lookup_candidates(s, sf):
+    """Ids of candidates by address, for the addresses of all profiles at once instead of one by one."""
+    asked = table(s, sf, "candidates").select(F.lower("email").alias("asked")).dropna().distinct()
+    ids = merge.first_per_key(m.candidates(s, sf).select(F.lower("email").alias("asked"), "id"), ["asked"], ["id"])
+    return asked.join(ids, "asked", "left").select("asked", "id")
 
 
 def label_load(s, sf):
     return table(s, sf, "synthetic_resume").filter("coalesce(source, '') IN ('', 'synthetic_generator')").groupBy("target_role_id").agg(F.countDistinct("resume_id").alias("n"))
 
 
-def synthetic_sample(s, sf):
-    """Seeded sample of 60 to 90 % of the skills of each role, at least three, for ten documents a role."""
+def synthetic_sample(s, sf, low: int = 60, span: int = 31):
+    """Seeded sample of 60 to 90 % of the skills of each role, at least three, for ten resumes a role."""
     from pyspark.sql import Window as W
 
     nodes = m.taxonomy(s, sf).filter("node_type = 'skill' AND skill_id IS NOT NULL").select("role_id", "skill_id").distinct()
     n = nodes.groupBy("role_id").agg(F.count("*").alias("n"))
     docs = n.select("role_id", "n", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("doc_no"))
-    share = 0.6 + F.pmod(F.xxhash64("role_id", "doc_no"), F.lit(31)) / 100
-    docs = docs.withColumn("k", F.greatest(F.lit(3), F.floor(F.col("n") * share)))
-    rank = F.row_number().over(W.partitionBy("role_id", "doc_no").orderBy(F.xxhash64("role_id", "doc_no", "skill_id"), "skill_id"))
+    share = low + F.conv(F.substring(F.md5(F.concat_ws("|", "role_id", F.col("doc_no").cast("string"))), 1, 6), 16, 10).cast("int") % span
+    docs = docs.withColumn("k", F.greatest(F.lit(3), F.floor(F.col("n") * share / 100)))
+    rank = F.row_number().over(W.partitionBy("role_id", "doc_no").orderBy(F.md5(F.concat_ws("|", "role_id", F.col("doc_no").cast("string"), "skill_id")), "skill_id"))
     return docs.join(nodes, "role_id").withColumn("r", rank).filter("r <= k").select("role_id", "doc_no", "skill_id")
 
 
+def synthetic_jd_sample(s, sf):
+    """As synthetic_sample, of 70 to 95 % for adverts."""
+    return synthetic_sample(s, sf, 70, 26)
+
+
 NAMES = (
+    "jd_bullets project_skills dq_reserved_rows link_unknown_skills replace_job_skills write_defaults parse_outcome label_emails lookup_candidates synthetic_jd_sample "
     "clean_punct clean_bullets ascii_fold dehyphenate collapse_ws clean_document content_hash block_kind doc_lines scrub_pii scrub_pii_counts segment_sections segment_jd skill_index skill_match jd_skills resume_skills "
     "extract_email extract_phone extract_location extract_name extract_education extract_dates extract_experience extract_projects extract_certs split_title_company parse_month_date resume_month_dates jd_header jd_years jd_text_years jd_seniority jd_role "
     "parse_resume parse_jd eval_prf eval_prf_overall eval_parse eval_coverage load_summary taxonomy_nodes skills_master skill_alias skill_taxonomy_link taxonomy_violations taxonomy_stats table_counts dq_missing_tables dq_orphans "
@@ -380,7 +457,7 @@ def queries() -> dict:
     return {n: globals()[n] for n in NAMES}
 
 
-_TEXTS = "(SELECT DISTINCT jd_id AS doc_id, raw_text FROM raw_jd WHERE raw_text IS NOT NULL)"
+_TEXTS = text_sql.TEXTS
 _LINES = "(SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS text FROM (SELECT doc_id, string_split_regex(raw_text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') AS l FROM {t}))"
 _BLANK = "regexp_matches(text, '[^\\s\\p{Z}\\x0b\\x1c-\\x1f\\x{85}]')"
 _TAXLINK = "(SELECT skill_id AS canonical_id, min(id) AS taxonomy_id FROM tax WHERE node_type = 'skill' GROUP BY 1)"
@@ -394,6 +471,21 @@ _CID = "CAST(regexp_extract(resume_id, '_0*([0-9]+)$', 1) AS BIGINT)"
 _LABELPAIR = f"(SELECT DISTINCT {_CID} AS candidate_id, sk.id AS skill_id FROM (SELECT resume_id, unnest(skills) AS canonical_id FROM lab) JOIN sk USING (canonical_id) WHERE regexp_matches(resume_id, '_0*[0-9]+$'))"
 
 
+def _sample_sql(low: int, span: int) -> str:
+    return f"""SELECT role_id, doc_no, skill_id FROM (SELECT role_id, doc_no, skill_id, greatest(3, floor(n * ({low} + CAST('0x' || substr(md5(role_id || '|' || doc_no), 1, 6) AS INT) % {span}) / 100)) AS k,
+row_number() OVER (PARTITION BY role_id, doc_no ORDER BY md5(role_id || '|' || doc_no || '|' || skill_id), skill_id) AS r FROM (SELECT DISTINCT role_id, skill_id FROM tax WHERE node_type = 'skill' AND skill_id IS NOT NULL)
+JOIN (SELECT role_id, count(DISTINCT skill_id) AS n FROM tax WHERE node_type = 'skill' AND skill_id IS NOT NULL GROUP BY 1) USING (role_id) CROSS JOIN (SELECT unnest(range(10))::INT AS doc_no)) WHERE r <= k"""
+
+
+_EV = "SELECT candidate_id, skill_id, struct_pack(evidence := evidence, source_section := source_section) AS {n} FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, skill_id ORDER BY {o}) AS rn FROM candidate_skills WHERE candidate_id IS NOT NULL AND skill_id IS NOT NULL AND evidence IS NOT NULL AND {w}) WHERE rn = 1"
+_BEFORE = "coalesce(created_at < TIMESTAMP '2022-01-01', false)"
+_EVIDENCE = f"ev_old AS ({_EV.format(n='o', o='evidence NULLS LAST, source_section NULLS LAST', w=_BEFORE)}), ev_new AS ({_EV.format(n='n', o="CASE WHEN evidence = 'explicit' THEN 0 ELSE 1 END, source_section NULLS LAST", w='NOT ' + _BEFORE)})"
+_TFIDF = """lt AS (SELECT DISTINCT resume_id AS id, role_id, unnest(skills) AS term FROM lab), rt AS (SELECT DISTINCT job_id AS id, role_id, unnest(required) AS term FROM job),
+ds AS (SELECT DISTINCT 'l:' || id AS d, term FROM lt UNION SELECT 'r:' || id, term FROM rt), idf AS (SELECT term, ln(1 + (SELECT count(DISTINCT d) FROM ds) / count(*)) AS w FROM ds GROUP BY 1),
+lw AS (SELECT * FROM lt JOIN idf USING (term)), rw AS (SELECT * FROM rt JOIN idf USING (term))"""
+_MORE = {"evidence_upgrade": _EVIDENCE, "match_tfidf": _TFIDF}
+
+
 def oracle_sql() -> dict[str, str]:
     q = {
         "clean_punct": f"SELECT doc_id, sha256(translate(raw_text, '—–’‘“”�•', '--''''\"\"- ')) AS out FROM {_TEXTS}",
@@ -410,25 +502,42 @@ UNION ALL SELECT 'importance_missing', CAST(id AS VARCHAR) FROM tax WHERE node_t
 UNION ALL SELECT 'parent_missing', CAST(id AS VARCHAR) FROM tax WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM tax) UNION ALL SELECT 'two_names', skill_id FROM tax WHERE node_type = 'skill' GROUP BY skill_id HAVING count(DISTINCT lower(node_name)) > 1
 UNION ALL SELECT 'alias_of_two', lower(trim(alias_text, ' ')) FROM skill_alias WHERE skill_id IS NOT NULL GROUP BY 2 HAVING count(DISTINCT skill_id) > 1 UNION ALL SELECT 'thin_role', role_id FROM tax WHERE node_type = 'skill' GROUP BY industry_id, role_id HAVING count(DISTINCT skill_id) < 5)""",
         "table_counts": " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in TABLES),
-        "dq_missing_tables": "SELECT unnest(['match_results', 'career_readiness']) AS table_name",
+        "dq_missing_tables": f"SELECT * FROM (SELECT unnest({[*TABLES, 'match_results', 'career_readiness']}) AS table_name) WHERE table_name NOT IN (SELECT table_name FROM information_schema.tables)",
         "dq_orphans": "SELECT 'candidate_id' AS reference, count(*) AS n FROM candidate_skills WHERE candidate_id IS NOT NULL AND candidate_id NOT IN (SELECT id FROM candidates WHERE id IS NOT NULL) UNION ALL SELECT 'skill_id', count(*) FROM candidate_skills WHERE skill_id IS NOT NULL AND skill_id NOT IN (SELECT id FROM skills WHERE id IS NOT NULL)",
         "dq_orphan_resumes": "SELECT 'resume_document' AS reference, count(*) AS n FROM (SELECT DISTINCT doc_id, TRY_CAST(regexp_extract(doc_id, '_0*([0-9]+)$', 1) AS BIGINT) AS cid FROM resume_document WHERE doc_id IS NOT NULL) r WHERE NOT EXISTS (SELECT 1 FROM candidates c WHERE c.id = r.cid)",
         "dq_no_resume": "SELECT id FROM cand WHERE id NOT IN (SELECT CAST(regexp_extract(doc_id, '_0*([0-9]+)$', 1) AS BIGINT) FROM resume_document WHERE regexp_matches(doc_id, '_0*[0-9]+$'))",
         "dq_taxonomy_link": "SELECT id, taxonomy_id FROM sk WHERE taxonomy_id IS NOT NULL AND taxonomy_id NOT IN (SELECT id FROM tax)",
-        "dq_email_domain": "SELECT id, email FROM cand WHERE email NOT LIKE '%.example'",
+        "dq_email_domain": "SELECT id, email FROM cand WHERE email NOT LIKE '%@postkorb.example'",
+        "dq_reserved_rows": "SELECT 'never' AS rule, 0::BIGINT AS n UNION ALL SELECT 'no_taxonomy', count(*) FROM sk WHERE taxonomy_id IS NULL",
         "dedup_exact": "SELECT doc_id, content_hash, CAST(row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) AS INT) AS copy_no FROM (SELECT DISTINCT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)",
         "eval_prf": _EVAL.format(g="role_id", c="role_id,"),
         "eval_prf_overall": _EVAL.replace("SELECT role_id, sum", "SELECT sum").format(g="ALL", c=""),
-        "parse_month_date": "SELECT DISTINCT strftime(o_orderdate, '%b %Y') AS text, CAST(date_trunc('month', o_orderdate) AS DATE) AS day FROM orders",
-        "jd_seniority": "SELECT job_id, CASE WHEN regexp_matches(lower(coalesce(job_title, '')), 'junior|entry|graduate') THEN 'fresher' WHEN regexp_matches(lower(coalesce(job_title, '')), 'senior|lead|staff|principal') THEN 'senior' WHEN min_years_experience <= 1 THEN 'fresher' WHEN min_years_experience >= 5 THEN 'senior' ELSE 'mid' END AS seniority FROM job",
-        "jd_years": "SELECT job_id, CASE WHEN min_years_experience IS NULL THEN NULL ELSE least(min_years_experience, 2) END AS years_min FROM job",
-        "jd_role": "SELECT job_id, CASE WHEN lower(job_title) LIKE '%revenue%' THEN 'revenue_analyst' WHEN lower(job_title) LIKE '%pipeline%' THEN 'pipeline_engineer' WHEN lower(job_title) LIKE '%model%' THEN 'model_engineer' ELSE 'data_analyst' END AS role_id FROM job",
+        "parse_month_date": """SELECT DISTINCT unnest([strftime(o_orderdate, '%b %Y'), strftime(o_orderdate, '%Y'), 'Xyz ' || strftime(o_orderdate, '%Y'), o_orderpriority]) AS text,
+unnest([CAST(date_trunc('month', o_orderdate) AS DATE), CAST(date_trunc('year', o_orderdate) AS DATE), CAST(date_trunc('year', o_orderdate) AS DATE), NULL]) AS day FROM orders""",
         "label_load": "SELECT target_role_id, count(DISTINCT resume_id) AS n FROM synthetic_resume WHERE coalesce(source, '') IN ('', 'synthetic_generator') GROUP BY 1",
         "link_candidate_skills": f"SELECT * FROM cs UNION SELECT * FROM {_LABELPAIR}",
         "replace_children": f"SELECT * FROM cs WHERE candidate_id NOT IN (SELECT candidate_id FROM {_LABELPAIR}) UNION ALL SELECT * FROM {_LABELPAIR}",
-        "manifest_upsert": "SELECT lower(file_format) AS batch, count(*) AS n FROM raw_jd WHERE file_format IS NOT NULL GROUP BY 1",
+        "manifest_upsert": """SELECT coalesce(a.batch, r.batch) AS batch, coalesce(a.n, -r.n) AS n FROM (SELECT lower(file_format) AS batch, count(*) AS n FROM raw_jd WHERE file_format IS NOT NULL GROUP BY 1) a
+FULL JOIN (SELECT lower(file_format) AS batch, count(*) AS n FROM resume_document WHERE file_format IS NOT NULL GROUP BY 1) r ON a.batch = r.batch""",
+        "link_unknown_skills": "SELECT canonical_id, count(*) FILTER (sk.id IS NULL) AS unknown, count(*) FILTER (sk.id IS NOT NULL) AS linked FROM (SELECT unnest(skills) AS canonical_id FROM lab) LEFT JOIN sk USING (canonical_id) GROUP BY 1",
+        "replace_job_skills": "SELECT * FROM jskills WHERE job_id >= 'p' UNION ALL SELECT * FROM jskills WHERE is_required = 1 AND job_id NOT IN (SELECT job_id FROM jskills WHERE job_id >= 'p')",
+        "write_defaults": "SELECT id, " + ", ".join(f"coalesce(nullif(trim({c}, ' '), ''), {v}) AS {c}" for c, v in (("full_name", "'Unknown'"), ("seniority_band", "'fresher'"), ("source", "'synthetic'"), ("location", "NULL"), ("phone", "NULL"))) + " FROM cand",
+        "parse_outcome": "SELECT doc_id, CASE WHEN raw_text IS NULL THEN 'no text' WHEN NOT regexp_matches(raw_text, '\\S') THEN 'empty text' END AS error, CASE WHEN regexp_matches(coalesce(raw_text, ''), '\\S') THEN 'parsed' ELSE 'failed' END AS outcome, count(*) AS n_rows FROM resume_document GROUP BY 1, 2, 3",
+        "label_emails": "SELECT resume_id, resume_id || '@synthetic.local' AS email FROM lab",
+        "lookup_candidates": "SELECT asked, id FROM (SELECT DISTINCT lower(email) AS asked FROM candidates WHERE email IS NOT NULL) LEFT JOIN (SELECT lower(email) AS asked, min(id) AS id FROM cand GROUP BY 1) USING (asked)",
+        "upsert_candidates": f"""SELECT coalesce(n.email, o.email) AS email, coalesce(o.id, n.id) AS id, CASE WHEN n.email IS NULL THEN o.full_name ELSE n.full_name END AS full_name, CASE WHEN o.email IS NULL THEN n.location ELSE o.location END AS location,
+CASE WHEN n.email IS NULL THEN o.target_role_id ELSE n.target_role_id END AS target_role_id, CASE WHEN o.email IS NULL THEN n.seniority_band ELSE o.seniority_band END AS seniority_band
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS rn FROM cand WHERE email IS NOT NULL AND created_at < TIMESTAMP '2023-01-01') WHERE rn = 1) o
+FULL JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY {', '.join(c + ' NULLS LAST' for c in ('id', 'full_name', 'target_role_id', 'location', 'seniority_band'))}) AS rn FROM candidates WHERE email IS NOT NULL AND updated_at >= TIMESTAMP '2023-01-01') WHERE rn = 1) n ON o.email = n.email""",
+        "evidence_upgrade": """SELECT candidate_id, skill_id, CASE WHEN up THEN n.evidence ELSE o.evidence END AS evidence, CASE WHEN up THEN n.source_section ELSE o.source_section END AS source_section
+FROM (SELECT candidate_id, skill_id, o, n, n IS NOT NULL AND (o IS NULL OR (n.evidence = 'explicit' AND o.evidence <> 'explicit')) AS up FROM ev_old FULL JOIN ev_new USING (candidate_id, skill_id))""",
+        "synthetic_sample": _sample_sql(60, 31),
+        "synthetic_jd_sample": _sample_sql(70, 26),
+        "match_tfidf": """SELECT resume_id, round(max(cosine), 6) AS best_cosine, count(*) AS n_jobs FROM (
+  SELECT l.id AS resume_id, r.id, round(sum(l.w * l.w) / (any_value(ln.n) * any_value(rn.n)), 6) AS cosine FROM lw l JOIN rw r ON l.role_id = r.role_id AND l.term = r.term
+  JOIN (SELECT id, sqrt(sum(w * w)) AS n FROM lw GROUP BY 1) ln ON ln.id = l.id JOIN (SELECT id, sqrt(sum(w * w)) AS n FROM rw GROUP BY 1) rn ON rn.id = r.id GROUP BY 1, 2) GROUP BY 1""",
         "insert_ignore_resumes": "SELECT sha256(doc_id) AS content_hash, doc_id, min(source_path) AS source_path FROM resume_document WHERE raw_text IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1, 2",
         "status_flip": "SELECT doc_id, CASE WHEN max(CASE WHEN regexp_matches(coalesce(raw_text, ''), '\\S') THEN 1 ELSE 0 END) = 1 THEN 'parsed' ELSE 'failed' END AS parsed_status FROM resume_document GROUP BY 1",
         "upsert_jobs": "SELECT sha256(job_id) AS content_hash, job_id, job_title, CASE WHEN job_id < 'p' THEN 'Unknown' ELSE company END AS company, role_id FROM job",
     }
-    return {k: m.MODEL_SQL + (", " + v if k.startswith("eval_prf") else v) for k, v in q.items()} | text_sql.with_steps(m.MODEL_SQL)
+    return {k: m.MODEL_SQL + (", " + v if k.startswith("eval_prf") else f", {_MORE[k]}\n{v}" if k in _MORE else v) for k, v in q.items()} | text_sql.with_steps(m.MODEL_SQL)

@@ -109,14 +109,14 @@ list_filter(list_transform(string_split_regex(whole, '{_BREAK}'), lambda v: rege
 }
 _WHOLE = f"(SELECT doc_id, raw_text AS whole, {_strip(f"list_filter(string_split_regex(raw_text, '{_BREAK}'), lambda v: {_strip('v')} <> '')[1]")} AS first FROM (SELECT DISTINCT doc_id, raw_text FROM resume_document WHERE doc_id IS NOT NULL AND raw_text IS NOT NULL))"
 _HEADER = "(SELECT doc_id, string_agg(text, chr(10) ORDER BY pos) AS whole, min_by(t, pos) AS first FROM rs WHERE section = 'header' GROUP BY 1)"
-_TEXTS = "(SELECT DISTINCT jd_id AS doc_id, raw_text FROM raw_jd WHERE raw_text IS NOT NULL)"
+TEXTS = "(SELECT DISTINCT jd_id AS doc_id, raw_text FROM raw_jd WHERE raw_text IS NOT NULL UNION SELECT doc_id, raw_text FROM resume_document WHERE raw_text IS NOT NULL)"
 _PUNCT = lambda c: f"translate({c}, '{t.PUNCTUATION[0]}', '{t.PUNCTUATION[1].replace(chr(39), chr(39) * 2)}')"
 _HYPHEN = lambda c: rf"regexp_replace({c}, '({_W})-{_WS}*\n{_WS}*([a-z])', '\1\2', 'g')"
 _SPACES = lambda c: rf"array_to_string(list_filter(list_transform(string_split_regex(regexp_replace({c}, '[ \t]+', ' ', 'g'), '{_BREAK}'), lambda v: {_strip('v')}), lambda v: v <> ''), chr(10))"
 # compatibility forms that stripping accents leaves as they are
 _FOLD = lambda c: "regexp_replace(strip_accents(" + "replace(" * 5 + c + ", 'º', 'o'), 'ª', 'a'), '…', '...'), chr(160), ' '), '’', '')" + r"), '[^\x00-\x7F]', '', 'g')"
 _CLEAN = lambda c: _SPACES(f"regexp_replace({_HYPHEN(_PUNCT(c))}, '{t.BULLETS}', ' ', 'g')")
-_HASHED = lambda f: f"SELECT doc_id, sha256({f('raw_text')}) AS out FROM {_TEXTS}"
+_HASHED = lambda f: f"SELECT doc_id, sha256({f('raw_text')}) AS out FROM {TEXTS}"
 _ENTRY_COUNTS = "".join(f", coalesce({n}.n, 0) AS n_{c}" for n, c in (("edu", "education"), ("exp", "experience"), ("proj", "projects"), ("cert", "certifications")))
 _ENTRY_JOINS = "".join(f" LEFT JOIN (SELECT doc_id, count(*) AS n FROM {n} GROUP BY 1) {n} USING (doc_id)" for n in ("edu", "exp", "proj", "cert"))
 _PARSED = f"""SELECT * FROM (SELECT b.doc_id, h.name, h.email, h.phone, h.location, coalesce(s.skills, []) AS skills, coalesce(s.n_explicit, 0) AS n_explicit{_ENTRY_COUNTS} FROM (SELECT DISTINCT doc_id FROM rl) b LEFT JOIN ({STEPS['rhead'].replace('{src}', _HEADER)}) h USING (doc_id)
@@ -134,7 +134,7 @@ def _scrub(kinds: list[str]) -> str:
     instead = {
         "email": f"'user_' || {digest(6)} || '@example.com'", "ssn": "'redacted_ssn'", "credit_card": "'redacted_cc'", "url": f"'https://example.com/page_' || {digest(6)}", "phone": f"'+1-555-' || {digest(3)} || '-0000'",
     }
-    q = f"SELECT doc_id, raw_text AS s FROM {_TEXTS}"
+    q = f"SELECT doc_id, raw_text AS s FROM {TEXTS}"
     for k in kinds:
         q = f"""SELECT * EXCLUDE (s, m, r), CAST(len(m) AS INT) AS {k}, array_to_string(list_transform(list_zip(r, m), lambda z: coalesce(z[1], '') || coalesce(z[2], '')), '') AS s
 FROM (SELECT * EXCLUDE (m), list_transform(m, lambda v: {instead[k]}) AS m FROM (SELECT *, regexp_extract_all(s, {_quoted(plain[k])}) AS m, string_split_regex(s, {_quoted(plain[k])}) AS r FROM ({q})))"""
@@ -155,7 +155,17 @@ def queries() -> dict[str, str]:
         "extract_education": "SELECT * FROM edu", "extract_dates": _DATES, "extract_experience": _EXP_OUT, "extract_projects": "SELECT * FROM proj", "extract_certs": "SELECT * FROM cert",
         "split_title_company": f"SELECT doc_id, pos, {_title('titled')} AS title, {_company('titled')} AS company FROM exl WHERE starts",
         "resume_month_dates": f"SELECT doc_id, pos, edge, text, {_DAY} AS day FROM (SELECT doc_id, pos, unnest(['start', 'end']) AS edge, unnest([start, \"end\"]) AS text FROM ({_DATES}))",
+        "jd_years": f"SELECT * FROM (SELECT doc_id, pos, {_years('text')} AS years FROM jl) WHERE years IS NOT NULL",
+        "jd_seniority": f"SELECT doc_id, job_title, years_min, {_SENIORITY} AS seniority FROM jhead JOIN jyear USING (doc_id)",
+        "jd_role": f"SELECT doc_id, {_ROLE} AS role_id, CASE WHEN contains(lower(job_title), 'revenue') THEN 'revenue_analyst' WHEN contains(lower(job_title), 'pipeline') THEN 'pipeline_engineer' WHEN contains(lower(job_title), 'model') THEN 'model_engineer' ELSE '{x.DEFAULT_ROLE}' END AS given_role_id FROM jhead",
+        "jd_bullets": "SELECT doc_id, section, pos, ltrim(text, '- ') AS text FROM js WHERE section IN ('responsibilities', 'requirements')",
+        "project_skills": """SELECT doc_id, entry, name, coalesce(to_json(list(canonical_id ORDER BY canonical_id) FILTER (canonical_id IS NOT NULL)), '[]')::VARCHAR AS tech_stack FROM (SELECT DISTINCT p.doc_id, p.entry, p.name, h.canonical_id FROM proj p
+LEFT JOIN (SELECT doc_id, entry, max(pos) FILTER (NOT starts) AS pos FROM (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS entry FROM (SELECT *, kind = 'subheading' OR starts_with(lower(t), 'project:') AS starts FROM rs WHERE section = 'projects')) GROUP BY 1, 2) l ON l.doc_id = p.doc_id AND l.entry = p.entry
+LEFT JOIN rhit h ON h.doc_id = p.doc_id AND h.pos = l.pos AND h.section = 'projects') GROUP BY 1, 2, 3""",
         "jd_header": "SELECT * FROM jhead", "jd_text_years": "SELECT * FROM jyear",
+        "eval_parse": """SELECT role_id, role_id IS NULL AS overall, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r
+FROM (SELECT role_id, CAST(sum(p * t) AS BIGINT) AS tp, CAST(sum(p * (1 - t)) AS BIGINT) AS fp, CAST(sum((1 - p) * t) AS BIGINT) AS fn FROM (SELECT doc_id, canonical_id, max(p) AS p, max(t) AS t FROM (SELECT doc_id, canonical_id, 1 AS p, 0 AS t FROM rskill UNION ALL SELECT resume_id, unnest(skills), 0, 1 FROM lab) GROUP BY 1, 2) b
+JOIN (SELECT resume_id, role_id FROM lab WHERE resume_id IN (SELECT doc_id FROM resume_document)) q ON q.resume_id = b.doc_id GROUP BY ROLLUP (role_id)))""",
         "parse_resume": _PARSED,
         "parse_jd": f"""SELECT doc_id, job_title, company, location, years_min, {_SENIORITY} AS seniority, {_ROLE} AS role_id, coalesce(required, []) AS required, coalesce(preferred, []) AS preferred FROM (SELECT DISTINCT doc_id FROM jl) LEFT JOIN jhead USING (doc_id) LEFT JOIN jyear USING (doc_id)
 LEFT JOIN (SELECT doc_id, list(canonical_id ORDER BY canonical_id) FILTER (is_required = 1) AS required, list(canonical_id ORDER BY canonical_id) FILTER (is_required = 0) AS preferred FROM jskill GROUP BY 1) USING (doc_id)""",
