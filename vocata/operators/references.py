@@ -1,9 +1,9 @@
 """References to records that do not exist.
 
 A reference is a tuple of columns that names a record of another table by its key. The
-tuple may be composite and partly null. References are grouped by their null mask; each
-mask is anti-joined with the target on its non-null columns only, and the declared match
-semantics decide what a null means:
+tuple may be composite and partly null. References are grouped by their null mask, and each
+mask meets the target on its non-null columns only (one join for all masks, of which the
+references without a match are kept); the declared match semantics decide what a null means:
 
 ``simple``   a reference with any null is not checked (the SQL default);
 ``partial``  the non-null columns must agree with at least one target, all null passes;
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, parallelism, small
+from ..session import BROADCAST_ROWS, small
 
 ABSENT, REMOVED, LATER, MIXED = "absent", "removed", "later", "mixed_nulls"
 
@@ -56,39 +56,38 @@ def target_state(
     return state.join(small(gone), names, "left").select(*names, "_first", alive.alias("_alive"))
 
 
+def _meet(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join on columns that may be null on both sides; of ``right`` only what ``left`` lacks is kept."""
+    cond = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on])
+    both = left.alias("l").join(right.alias("r"), cond, how)
+    return both if how in ("left_anti", "left_semi") else both.select("l.*", *[f"r.{c}" for c in right.columns if c not in on])
+
+
 def _against(refs: DataFrame, state: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
-    """References of one null mask without a living, early enough target; adds ``reason``.
+    """References without a living, early enough target, with the ``reason``: one join for all null masks.
 
     The references of hot keys are joined by broadcast with the states of those keys
     alone. There are at most ``rows / hot_rows`` such keys, and the hint is still given only
     after counting, so a key with a third of all rows never meets in one task.
     """
-    living = state.filter("_alive").groupBy(*on).agg(F.min("_first").alias("_since"), F.max(F.col("_first").isNull()).alias("_undated"))
-    known = state.select(*on).distinct()
-    early = F.col("_undated") | F.col("_ref_at").isNull() | (F.col("_since") <= F.col("_ref_at"))
-
-    def anti(left: DataFrame, right: DataFrame) -> DataFrame:
-        cond = reduce(lambda a, b: a & b, [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]) & early
-        return left.alias("l").join(right.alias("r"), cond, "left_anti")
-
-    checked = small(living)
-    if state.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        orphans = anti(refs, checked)
+    first = F.when(F.col("_alive"), F.col("_first"))
+    per = state.groupBy(*on).agg(F.max("_alive").alias("_lives"), F.min(first).alias("_since"), F.max(F.col("_alive") & F.col("_first").isNull()).alias("_undated"))
+    if per.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = _meet(refs, F.broadcast(per), on, "left")
     else:
         hot = refs.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on)
         few = hot.limit(BROADCAST_ROWS + 1).count()
         if few == 0 or few > BROADCAST_ROWS:
-            orphans = anti(refs, living)
+            met = _meet(refs, per, on, "left")
         else:
             hot = F.broadcast(hot)
-            orphans = anti(refs.join(hot, on, "left_anti"), living).unionByName(
-                anti(refs.join(hot, on, "left_semi"), F.broadcast(living.join(hot, on, "left_semi")))
+            met = _meet(_meet(refs, hot, on, "left_anti"), per, on, "left").unionByName(
+                _meet(_meet(refs, hot, on, "left_semi"), F.broadcast(_meet(per, hot, on, "left_semi")), on, "left")
             )
-    reasons = known.join(living.withColumn("_lives", F.lit(True)), on, "left").withColumn("_known", F.lit(True))
-    return orphans.join(small(reasons.select(*on, "_known", "_lives")), on, "left").withColumn(
-        "reason",
-        F.when(F.col("_known").isNull(), ABSENT).when(F.col("_lives").isNull(), REMOVED).otherwise(LATER),
-    ).drop("_known", "_lives")
+    early = F.col("_undated") | F.col("_ref_at").isNull() | (F.col("_since") <= F.col("_ref_at"))
+    orphans = met.filter(~F.coalesce(F.col("_lives") & early, F.lit(False)))
+    reason = F.when(F.col("_lives").isNull(), ABSENT).when(~F.col("_lives"), REMOVED).otherwise(LATER)
+    return orphans.withColumn("reason", reason).drop("_lives", "_since", "_undated")
 
 
 def orphan_references(
@@ -115,16 +114,14 @@ def orphan_references(
     mask = reduce(lambda a, b: a + b, [F.when(F.col(n).isNull(), 1 << i).otherwise(0) for i, n in enumerate(names)])
     base = base.withColumn("null_mask", mask)
     every = (1 << len(names)) - 1
-    parts = []
-    for m in range(every + 1):
-        on = [n for i, n in enumerate(names) if not m >> i & 1]
-        part = base.filter(F.col("null_mask") == m)
-        if m == 0 or (match == "partial" and m != every):
-            parts.append(_against(part, state, on, hot_rows))
-        elif match == "full" and m != every:
-            parts.append(part.withColumn("reason", F.lit(MIXED)))
-    cols = ["row_id", *names, "null_mask", F.col("_ref_at").alias("ref_at"), "reason"]
-    return reduce(DataFrame.unionByName, [p.select(*cols) for p in parts]).distinct()
+    masks = list(range(every)) if match == "partial" else [0]
+    # a target stands once under each mask, without the columns that the mask leaves out
+    masked = state.withColumn("null_mask", F.explode(F.array(*[F.lit(m) for m in masks])) if len(masks) > 1 else F.lit(0))
+    masked = masked.withColumns({n: F.when(F.col("null_mask").bitwiseAND(1 << i) == 0, F.col(n)) for i, n in enumerate(names)} if len(masks) > 1 else {})
+    found = _against(base.filter(F.col("null_mask").isin(masks)), masked, ["null_mask", *names], hot_rows)
+    if match == "full":
+        found = found.unionByName(base.filter((F.col("null_mask") > 0) & (F.col("null_mask") < every)).withColumn("reason", F.lit(MIXED)))
+    return found.select("row_id", *names, "null_mask", F.col("_ref_at").alias("ref_at"), "reason").distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

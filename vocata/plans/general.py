@@ -31,8 +31,22 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_report(p1_orphans(spark, sf))
 
 
+def p1_composite(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs (candidate_id, skill_id) of candidate_skills that no hit in a text of the candidate bears out, under each match semantics.
+
+    Either half of the pair may be null; a hit names its candidate by the number of its document.
+    """
+    number = F.regexp_extract("doc_id", r"_0*([0-9]+)$", 1).try_cast("long")
+    hits = table(spark, sf, "skill_hits").select(number.alias("candidate_id"), "skill_id")
+    state, refs, parts = target_state(hits, ["candidate_id", "skill_id"]), table(spark, sf, "candidate_skills"), []
+    for match in ("simple", "partial", "full"):
+        found = orphan_references(refs, ["candidate_id", "skill_id"], "id", state, match=match)
+        parts.append(found.select(F.lit(match).alias("match"), "row_id", F.col("k0").alias("candidate_id"), F.col("k1").alias("skill_id"), "null_mask", "reason"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_report": p1_report}
+    return {"p1_found": p1_found, "p1_report": p1_report, "p1_composite": p1_composite}
 
 
 def _orphans(src: str, field: str, target: str) -> str:
@@ -44,9 +58,18 @@ LEFT JOIN (SELECT entity_id, max(removed_at) AS at FROM removal_log WHERE entity
 WHERE r.{field} IS NOT NULL AND (t.id IS NULL OR g.at >= t.last_at OR (g.at IS NOT NULL AND t.last_at IS NULL) OR t.first_at > r.created_at)"""
 
 
+_COMPOSITE = """WITH hit AS (SELECT DISTINCT TRY_CAST(regexp_extract(doc_id, '_0*([0-9]+)$', 1) AS BIGINT) AS c, skill_id AS s FROM skill_hits WHERE skill_id IS NOT NULL AND regexp_matches(doc_id, '_0*[0-9]+$')),
+r AS (SELECT DISTINCT id AS row_id, candidate_id, skill_id, CASE WHEN candidate_id IS NULL THEN 1 ELSE 0 END + CASE WHEN skill_id IS NULL THEN 2 ELSE 0 END AS null_mask FROM candidate_skills),
+whole AS (SELECT * FROM r WHERE null_mask = 0 AND NOT EXISTS (SELECT 1 FROM hit WHERE c = candidate_id AND s = skill_id))
+SELECT 'simple' AS match, *, 'absent' AS reason FROM whole UNION ALL SELECT 'full', *, 'absent' FROM whole UNION ALL SELECT 'full', *, 'mixed_nulls' FROM r WHERE null_mask IN (1, 2)
+UNION ALL SELECT 'partial', *, 'absent' FROM whole UNION ALL SELECT 'partial', *, 'absent' FROM r WHERE null_mask = 1 AND skill_id NOT IN (SELECT s FROM hit)
+UNION ALL SELECT 'partial', *, 'absent' FROM r WHERE null_mask = 2 AND candidate_id NOT IN (SELECT c FROM hit WHERE c IS NOT NULL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     every = " UNION ALL ".join(_orphans(*x) for x in REFERENCES)
     return {
+        "p1_composite": _COMPOSITE,
         "p1_found": f"SELECT DISTINCT src_table, row_id, ref_field FROM ({every})",
         "p1_report": f"""SELECT src_table, ref_field, strftime(ref_at, '%Y-%m') AS month, reason, count(DISTINCT row_id) AS n_rows, count(DISTINCT k0) AS n_keys
 FROM ({every}) GROUP BY ALL""",
