@@ -46,29 +46,31 @@ def _named(norm: Column) -> Column:
     return F.when(norm == "", None).when(norm.isin(*SECTION_LABELS), F.try_element_at(known, norm)).otherwise(part)
 
 
-def _sections(rows: DataFrame, norm: Column, mark: Column) -> DataFrame:
-    """Carries the mark of the last heading over the lines after it and drops the headings.
+def _sections(rows: DataFrame, norm: Column, mark: Column, headings: bool) -> DataFrame:
+    """Carries the mark of the last heading over the lines after it and drops the headings,
+    or keeps them with an empty section.
 
     The normalised text is a column of its own, so its patterns run once a line.
     """
     w = W.partitionBy("doc_id").orderBy("pos")
     marked = rows.withColumn("_norm", norm).withColumn("_m", mark)
-    return marked.withColumn("section", F.coalesce(F.last("_m", ignorenulls=True).over(w), F.lit("header"))).filter("_m IS NULL").drop("_m", "_norm")
+    marked = marked.withColumn("section", F.when(F.col("_m").isNotNull(), "").otherwise(F.coalesce(F.last("_m", ignorenulls=True).over(w), F.lit("header"))))
+    return (marked if headings else marked.filter("_m IS NULL")).drop("_m", "_norm")
 
 
-def segment(rows: DataFrame) -> DataFrame:
+def segment(rows: DataFrame, headings: bool = False) -> DataFrame:
     """Adds ``section`` to resume lines and drops the headings; lines before any are ``header``."""
     norm = x.strip(F.regexp_replace(F.lower("text"), r"(?U)\s*\.*:*\s*$", ""))
     named = _named(F.col("_norm"))
     mark = F.coalesce(named, F.when(F.col("kind") == "heading", F.concat(F.lit("other::"), F.lower(x.strip(F.col("text"))))))
-    return _sections(rows, norm, mark)
+    return _sections(rows, norm, mark, headings)
 
 
-def segment_jd(rows: DataFrame) -> DataFrame:
+def segment_jd(rows: DataFrame, headings: bool = False) -> DataFrame:
     """Adds ``section`` to advert lines by the exact heading labels and drops the headings."""
     norm = F.lower(x.strip(F.regexp_replace(F.col("text"), r"(?U)\s*:*\s*$", "")))
     known = F.create_map(*[F.lit(v) for kv in JD_LABELS.items() for v in kv])
-    return _sections(rows, norm, F.try_element_at(known, F.col("_norm")))
+    return _sections(rows, norm, F.try_element_at(known, F.col("_norm")), headings)
 
 
 def skill_index(skills: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -187,25 +189,70 @@ def jd_header(sections: DataFrame) -> DataFrame:
 
 
 def parse_jd(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per advert: header, years, seniority, role, required and preferred skills."""
-    s = segment_jd(rows)
-    years = s.filter("section = 'requirements'").groupBy("doc_id").agg(F.min(x.years(F.col("text"))).alias("years_min"))
-    found = jd_skills(match_skills(s.filter(F.col("section").isin("responsibilities", "requirements", "preferred")), index))
+    """One row per advert: header, years, seniority, role, required and preferred skills, and its lines of each kind.
+
+    The text is read twice: for the lines of each advert in one aggregate, and for the skills.
+    """
+    s = segment_jd(rows, headings=True)  # a document of headings alone is a row, too
+    sec, line = F.col("section"), F.struct("pos", x.bullet_text(F.col("text")).alias("t"))
+    of = lambda name: F.array_sort(F.collect_list(F.when(sec == name, line)))["t"].alias(name)
+    header = F.array_sort(F.collect_list(F.when(sec == "header", F.struct("pos", "text"))))["text"]
+    lines = s.groupBy("doc_id").agg(header.alias("h"), F.min(F.when(sec == "requirements", x.years(F.col("text")))).alias("years_min"), of("responsibilities"), of("requirements"))
+    first, second = F.try_element_at("h", F.lit(1)), F.coalesce(F.try_element_at("h", F.lit(2)), F.lit(""))
+    any_header = F.size("h") > 0
+    lines = lines.select(
+        "doc_id", "years_min", "responsibilities", "requirements", x.strip(first).alias("job_title"), F.when(any_header, x.strip(F.substring_index(second, "|", 1))).alias("company"),
+        F.when(any_header, F.when(second.contains("|"), x.strip(F.substring_index(second, "|", -1))).otherwise("")).alias("location"),
+    )
+    found = jd_skills(match_skills(s.filter(sec.isin("responsibilities", "requirements", "preferred")), index))
     found = found.groupBy("doc_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("is_required") == k, F.col("canonical_id")))).alias(n) for k, n in ((1, "required"), (0, "preferred"))])
-    out = rows.select("doc_id").distinct().join(jd_header(s), "doc_id", "left").join(years, "doc_id", "left").join(found, "doc_id", "left")
     none = F.array().cast("array<string>")
-    return out.select("doc_id", "job_title", "company", "location", "years_min", x.seniority(F.col("job_title"), F.col("years_min")).alias("seniority"), x.role(F.col("job_title")).alias("role_id"), F.coalesce("required", none).alias("required"), F.coalesce("preferred", none).alias("preferred"))
+    return lines.join(found, "doc_id", "left").select(
+        "doc_id", "job_title", "company", "location", "years_min", x.seniority(F.col("job_title"), F.col("years_min")).alias("seniority"), x.role(F.col("job_title")).alias("role_id"),
+        F.coalesce("required", none).alias("required"), F.coalesce("preferred", none).alias("preferred"), "responsibilities", "requirements",
+    )
 
 
 def parse_resume(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """One row per resume: contact fields, numbers of entries, skills with their evidence."""
-    s = segment(rows)
-    head = s.filter("section = 'header'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("h"))
-    text = F.array_join("h.text", "\n")
-    head = head.select("doc_id", x.name(F.try_element_at("h.text", F.lit(1))).alias("name"), x.email(text).alias("email"), x.phone(text).alias("phone"), x.location(text).alias("location"))
-    found = resume_skills(match_skills(s.filter(F.col("section").isin("skills", "experience", "projects")), index))
+    """One row per resume: contact fields, entries of each kind, skills with their evidence.
+
+    The text is read twice: for the lines, whose windows and aggregates all go by document
+    and so need one shuffle, and for the skills.
+    """
+    s = segment(rows, headings=True)  # a document of headings alone is a row, too
+    sec, t = F.col("section"), x.strip(F.col("text"))
+    title_only = F.regexp_replace(F.regexp_replace(F.col("t"), x.DATE_RANGE, ""), r"^[ (\-):—]+|[ (\-):—]+$", "")
+    r = s.withColumn("t", t).withColumns({"d": F.when(sec == "experience", x.dates(F.col("t"))), "title_only": F.when(sec == "experience", title_only)})
+    bullet = (F.col("kind") == "bullet") | F.col("t").rlike(BULLET_VERBS)
+    begins = F.when(sec == "experience", ~bullet & ((F.col("d").isNotNull() & (F.col("title_only") != "")) | (F.col("d").isNull() & F.col("kind").isin("subheading", "heading"))))
+    begins = begins.when(sec == "projects", (F.col("kind") == "subheading") | F.startswith(F.lower("t"), F.lit("project:"))).otherwise(False)
+    r = r.withColumns({"starts": begins, "bullet": bullet})
+    both = F.sum(F.col("starts").cast("int")).over(W.partitionBy("doc_id", "section").orderBy("pos"))
+    # an entry is a run of lines of experience or projects; other lines stand for themselves
+    r = r.withColumn("entry", F.when(sec.isin("experience", "projects"), both).otherwise(F.col("pos")))
+    head = F.struct(x.title_company(F.when(F.col("d").isNotNull(), F.col("title_only")).otherwise(F.col("t"))).alias("tc"), F.col("d").alias("d"))
+    starts, late = F.col("starts"), ~F.col("starts") & ~F.col("bullet") & (F.col("title_only") == "") & F.col("d").isNotNull()
+    body = ~starts & F.when(sec == "experience", F.col("bullet") | F.col("d").isNull()).otherwise(True)
+    parts = r.groupBy("doc_id", "section", "entry").agg(
+        F.min("pos").alias("pos"), F.first(F.when(starts, head), ignorenulls=True).alias("h"), F.min_by(F.when(late, F.col("d")), F.when(late, F.col("pos"))).alias("late"),
+        F.max(F.when(starts, F.col("t"))).alias("named"), F.array_sort(F.collect_list(F.when(body, F.struct("pos", "t"))))["t"].alias("lines"), F.first("text").alias("text"),
+    )
+    when = F.coalesce("h.d", "late")
+    experience = F.when((sec == "experience") & (F.col("entry") > 0), F.struct("entry", "h.tc.title", "h.tc.company", when["start"].alias("start"), when["end"].alias("end"), F.coalesce(when["is_current"], F.lit(False)).alias("is_current"), F.col("lines").alias("bullets")))
+    project = F.when(sec == "projects", F.struct("entry", F.coalesce("named", F.lit("")).alias("name"), F.coalesce(F.try_element_at("lines", F.lit(-1)), F.lit("")).alias("description")))
+    e, c = x.education(F.col("text")), x.certificate(F.col("text"))
+    education = F.when((sec == "education") & e.isNotNull(), F.struct("pos", e["degree"].alias("degree"), e["field_of_study"].alias("field_of_study"), e["institution"].alias("institution"), e["year"].alias("year")))
+    certificate = F.when(sec == "certifications", F.struct("pos", c["name"].alias("name"), c["issuer"].alias("issuer")))
+    every = lambda v: F.array_sort(F.collect_list(v))
+    out = parts.groupBy("doc_id").agg(
+        every(F.when(sec == "header", F.struct("pos", "text")))["text"].alias("h"), every(education).alias("education"), every(experience).alias("experience"), every(project).alias("projects"), every(certificate).alias("certifications")
+    )
+    has, text = F.size("h") > 0, F.array_join("h", "\n")
+    field = lambda v: F.when(has, v)
+    found = resume_skills(match_skills(s.filter(sec.isin("skills", "experience", "projects")), index))
     found = found.groupBy("doc_id").agg(F.array_sort(F.collect_set("canonical_id")).alias("skills"), F.count_if(F.col("evidence") == "explicit").alias("n_explicit"))
-    out = rows.select("doc_id").distinct().join(head, "doc_id", "left").join(found, "doc_id", "left")
-    for n, e in (("n_education", education_entries(s)), ("n_experience", experience_entries(s)), ("n_projects", project_entries(s)), ("n_certifications", certificate_entries(s))):
-        out = out.join(e.groupBy("doc_id").agg(F.count("*").alias(n)), "doc_id", "left").withColumn(n, F.coalesce(n, F.lit(0)))
-    return out.withColumn("skills", F.coalesce("skills", F.array().cast("array<string>"))).withColumn("n_explicit", F.coalesce("n_explicit", F.lit(0)))
+    kinds = ("education", "experience", "projects", "certifications")
+    return out.join(found, "doc_id", "left").select(
+        "doc_id", field(x.name(F.try_element_at("h", F.lit(1)))).alias("name"), field(x.email(text)).alias("email"), field(x.phone(text)).alias("phone"), field(x.location(text)).alias("location"),
+        F.coalesce("skills", F.array().cast("array<string>")).alias("skills"), F.coalesce("n_explicit", F.lit(0)).alias("n_explicit"), *[F.size(k).cast("long").alias(f"n_{k}") for k in kinds], *kinds,
+    )

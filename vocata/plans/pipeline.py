@@ -187,12 +187,28 @@ def project_skills(s, sf):
     return d.project_skills(d.segment(_resumes(s, sf)), _index(s, sf))
 
 
-def parse_resume(s, sf):
+def _parsed(s, sf):
     return d.parse_resume(_resumes(s, sf), _index(s, sf))
 
 
+def parse_resume(s, sf):
+    """The entries as JSON, so that one row holds all of a resume."""
+    kinds = ("education", "experience", "projects", "certifications")
+    return _parsed(s, sf).withColumns({k: F.concat_ws("\n", F.transform(k, lambda e: F.to_json(e))) for k in ("projects", "certifications")}).drop(*kinds[:2])
+
+
+def parse_entries(s, sf):
+    """Education and experience entries that a parse holds, one row each."""
+    p = _parsed(s, sf)
+    none, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    edu = p.select("doc_id", F.explode("education").alias("e")).select("doc_id", F.lit("education").alias("kind"), F.col("e.degree").alias("a"), F.col("e.institution").alias("b"), text("e.year").alias("c"), F.lit(0).alias("n_bullets"))
+    exp = p.select("doc_id", F.explode("experience").alias("e")).select("doc_id", F.lit("experience").alias("kind"), F.col("e.title").alias("a"), F.col("e.company").alias("b"), F.coalesce("e.start", none).alias("c"), F.size("e.bullets").alias("n_bullets"))
+    return edu.unionByName(exp)
+
+
 def parse_jd(s, sf):
-    return d.parse_jd(_adverts(s, sf), _index(s, sf))
+    p = d.parse_jd(_adverts(s, sf), _index(s, sf))
+    return p.withColumns({k: F.concat_ws("\n", k) for k in ("responsibilities", "requirements")})
 
 
 def _truth(s, sf):
@@ -224,13 +240,13 @@ def eval_parse(s, sf):
 
 
 def eval_coverage(s, sf):
-    p = parse_resume(s, sf)
+    p = _parsed(s, sf)
     share = lambda c: F.round(F.avg(c.cast("int")), 6)
     return p.agg(share(F.col("name").isNotNull()).alias("name"), share(F.col("n_education") > 0).alias("education"), share(F.col("n_experience") > 0).alias("experience"), share(F.col("n_projects") > 0).alias("projects"))
 
 
 def load_summary(s, sf):
-    p = parse_resume(s, sf)
+    p = _parsed(s, sf)
     return p.agg(F.count("*").alias("parsed"), F.sum(F.size("skills")).alias("skills"), F.sum("n_education").alias("education"), F.sum("n_experience").alias("experience"), F.sum("n_projects").alias("projects"), F.sum("n_certifications").alias("certifications"))
 
 
@@ -445,7 +461,7 @@ def synthetic_jd_sample(s, sf):
 
 
 NAMES = (
-    "jd_bullets project_skills dq_reserved_rows link_unknown_skills replace_job_skills write_defaults parse_outcome label_emails lookup_candidates synthetic_jd_sample "
+    "parse_entries jd_bullets project_skills dq_reserved_rows link_unknown_skills replace_job_skills write_defaults parse_outcome label_emails lookup_candidates synthetic_jd_sample "
     "clean_punct clean_bullets ascii_fold dehyphenate collapse_ws clean_document content_hash block_kind doc_lines scrub_pii scrub_pii_counts segment_sections segment_jd skill_index skill_match jd_skills resume_skills "
     "extract_email extract_phone extract_location extract_name extract_education extract_dates extract_experience extract_projects extract_certs split_title_company parse_month_date resume_month_dates jd_header jd_years jd_text_years jd_seniority jd_role "
     "parse_resume parse_jd eval_prf eval_prf_overall eval_parse eval_coverage load_summary taxonomy_nodes skills_master skill_alias skill_taxonomy_link taxonomy_violations taxonomy_stats table_counts dq_missing_tables dq_orphans "

@@ -166,8 +166,12 @@ LEFT JOIN rhit h ON h.doc_id = p.doc_id AND h.pos = l.pos AND h.section = 'proje
         "eval_parse": """SELECT role_id, role_id IS NULL AS overall, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r
 FROM (SELECT role_id, CAST(sum(p * t) AS BIGINT) AS tp, CAST(sum(p * (1 - t)) AS BIGINT) AS fp, CAST(sum((1 - p) * t) AS BIGINT) AS fn FROM (SELECT doc_id, canonical_id, max(p) AS p, max(t) AS t FROM (SELECT doc_id, canonical_id, 1 AS p, 0 AS t FROM rskill UNION ALL SELECT resume_id, unnest(skills), 0, 1 FROM lab) GROUP BY 1, 2) b
 JOIN (SELECT resume_id, role_id FROM lab WHERE resume_id IN (SELECT doc_id FROM resume_document)) q ON q.resume_id = b.doc_id GROUP BY ROLLUP (role_id)))""",
-        "parse_resume": _PARSED,
-        "parse_jd": f"""SELECT doc_id, job_title, company, location, years_min, {_SENIORITY} AS seniority, {_ROLE} AS role_id, coalesce(required, []) AS required, coalesce(preferred, []) AS preferred FROM (SELECT DISTINCT doc_id FROM jl) LEFT JOIN jhead USING (doc_id) LEFT JOIN jyear USING (doc_id)
+        "parse_resume": f"""SELECT p.*, coalesce(j.s, '') AS projects, coalesce(c.s, '') AS certifications FROM ({_PARSED}) p
+LEFT JOIN (SELECT doc_id, string_agg('{{"entry":' || entry || ',"name":' || to_json(name) || ',"description":' || to_json(description) || '}}', chr(10) ORDER BY entry) AS s FROM proj GROUP BY 1) j USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg('{{"pos":' || pos || ',"name":' || to_json(name) || ',"issuer":' || to_json(issuer) || '}}', chr(10) ORDER BY pos) AS s FROM cert GROUP BY 1) c USING (doc_id)""",
+        "parse_entries": "SELECT doc_id, 'education' AS kind, degree AS a, institution AS b, year::VARCHAR AS c, 0 AS n_bullets FROM edu UNION ALL SELECT doc_id, 'experience', title, company, CASE WHEN has THEN s1 ELSE s2 END, len(bullets)::INT FROM exp",
+        "parse_jd": f"""SELECT doc_id, job_title, company, location, years_min, {_SENIORITY} AS seniority, {_ROLE} AS role_id, coalesce(required, []) AS required, coalesce(preferred, []) AS preferred, coalesce(responsibilities, '') AS responsibilities, coalesce(requirements, '') AS requirements FROM (SELECT DISTINCT doc_id FROM jl) LEFT JOIN (SELECT doc_id, string_agg(ltrim(text, '- '), chr(10) ORDER BY pos) FILTER (section = 'responsibilities') AS responsibilities,
+string_agg(ltrim(text, '- '), chr(10) ORDER BY pos) FILTER (section = 'requirements') AS requirements FROM js GROUP BY 1) USING (doc_id) LEFT JOIN jhead USING (doc_id) LEFT JOIN jyear USING (doc_id)
 LEFT JOIN (SELECT doc_id, list(canonical_id ORDER BY canonical_id) FILTER (is_required = 1) AS required, list(canonical_id ORDER BY canonical_id) FILTER (is_required = 0) AS preferred FROM jskill GROUP BY 1) USING (doc_id)""",
         "eval_coverage": f"SELECT round(avg(CAST(name IS NOT NULL AS INT)), 6) AS name, round(avg(CAST(n_education > 0 AS INT)), 6) AS education, round(avg(CAST(n_experience > 0 AS INT)), 6) AS experience, round(avg(CAST(n_projects > 0 AS INT)), 6) AS projects FROM ({_PARSED})",
         "load_summary": f"SELECT count(*) AS parsed, CAST(sum(len(skills)) AS BIGINT) AS skills, CAST(sum(n_education) AS BIGINT) AS education, CAST(sum(n_experience) AS BIGINT) AS experience, CAST(sum(n_projects) AS BIGINT) AS projects, CAST(sum(n_certifications) AS BIGINT) AS certifications FROM ({_PARSED})",
