@@ -184,3 +184,43 @@ def test_sources_and_stream(spark, tmp_path):
     q = intake.run(intake.new_resumes(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert {(r["doc_id"], r["parsed_status"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", "parsed"), ("b", "failed")}
+
+
+def test_surface_in_another_script(spark):
+    skills = spark.createDataFrame([(1, "analysis", "分析", True), (2, "sql", "SQL", True)], "id int, canonical_id string, canonical_name string, is_active boolean")
+    index = d.skill_index(skills, spark.createDataFrame([], "alias_text string, skill_id int"))
+    rows = spark.createDataFrame([("a", "skills", 0, "数据分析 and sql"), ("b", "skills", 0, "分析"), ("c", "skills", 0, "")], "doc_id string, section string, pos int, text string")
+    assert sorted((r["doc_id"], r["canonical_id"]) for r in d.match_skills(rows, index).collect()) == [("a", "analysis"), ("a", "sql"), ("b", "analysis")]
+
+
+def test_parse_keeps_entries_and_documents_of_headings_alone(spark):
+    skills = spark.createDataFrame([(1, "sql", "SQL", True)], "id int, canonical_id string, canonical_name string, is_active boolean")
+    index = d.skill_index(skills, spark.createDataFrame([], "alias_text string, skill_id int"))
+    text = "Ann Lee\nEXPERIENCE\nAnalyst - Acme (Jan 2019 - Present)\n- Built reports\nIntern at Beta\n(2015 - 2016)\nEDUCATION\nMSc in Data - Some College (2014)\nPROJECTS\nProject: one\nfirst\nuses SQL\nCERTIFICATIONS\nGoogle Cloud (GC-1)"
+    docs = spark.createDataFrame([("d", text), ("h", "Skills\nProjects")], "doc_id string, raw_text string")
+    rows = d.document_lines(docs, "doc_id", "raw_text")
+    p = {r["doc_id"]: r for r in d.parse_resume(rows, index).collect()}
+    assert set(p) == {"d", "h"} and (p["h"]["name"], p["h"]["skills"], p["h"]["n_projects"]) == (None, [], 0)
+    r = p["d"]
+    assert [(e["title"], e["company"], e["start"], e["bullets"]) for e in r["experience"]] == [("Analyst", "Acme", "Jan 2019", ["- Built reports", "Intern at Beta"])]
+    assert [(e["degree"], e["institution"], e["year"]) for e in r["education"]] == [("MSc", "Some College", 2014)]
+    assert [(e["name"], e["description"]) for e in r["projects"]] == [("Project: one", "uses SQL")] and [c["issuer"] for c in r["certifications"]] == ["Google"]
+    assert [x["tech_stack"] for x in d.project_skills(d.segment(rows), index).collect()] == ['["sql"]']
+    j = d.parse_jd(d.document_lines(spark.createDataFrame([("j", "Analyst\nRequirements\n- know SQL"), ("k", "Requirements")], "doc_id string, raw_text string"), "doc_id", "raw_text"), index)
+    assert sorted((x["doc_id"], x["job_title"], x["requirements"], x["required"]) for x in j.collect()) == [("j", "Analyst", ["know SQL"], ["sql"]), ("k", None, [], [])]
+
+
+def test_defaults_and_outcomes(spark):
+    df = spark.createDataFrame([("a", " x "), ("b", " "), ("c", None), ("c", None)], "k string, t string")
+    assert [r[0] for r in df.select(merge.or_default(F.col("t"), "none")).collect()] == ["x", "none", "none", "none"]
+    got = {(r["doc_id"], r["error"], r["outcome"], r["n_rows"]) for r in d.parse_outcome(df, "k", "t").collect()}
+    assert got == {("a", None, "parsed", 1), ("b", "empty text", "failed", 1), ("c", "no text", "failed", 2)}
+
+
+def test_salted_join(spark):
+    from vocata.session import salted_join
+
+    left = spark.range(40).selectExpr("id", "id % 3 AS k")
+    right = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k long, v string")
+    rows = lambda df: sorted(map(tuple, df.select("id", "k", "v").collect()))
+    assert rows(salted_join(left, right, ["k"], "id")) == rows(left.join(right, "k"))

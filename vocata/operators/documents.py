@@ -90,10 +90,11 @@ def match_skills(rows: DataFrame, index: DataFrame) -> DataFrame:
     case. Its first run of letters and digits must then be a whole run of the line, so lines
     meet surfaces in an equi-join on that run, and the pattern is tried on these pairs alone.
     """
-    anchor = F.lower(F.regexp_extract("surface", r"[A-Za-z0-9]+", 0))
+    anchor = F.lower(F.regexp_extract("surface", r"[A-Za-z0-9]+", 0))  # a surface without one is tried on every line
     quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])\Q"), F.col("surface"), F.lit(r"\E(?![A-Za-z0-9])"))
-    idx = index.withColumn("anchor", anchor).withColumn("pattern", quoted).filter("anchor != ''")
-    runs = rows.select("doc_id", "section", "pos", "text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), F.lit(1)))).alias("anchor"))
+    idx = index.withColumn("anchor", anchor).withColumn("pattern", quoted)
+    found = F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z0-9]+)"), F.lit(1))
+    runs = rows.select("doc_id", "section", "pos", "text", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), found))).alias("anchor"))
     hits = runs.join(small(idx), "anchor").withColumn("surface_form", F.expr("regexp_substr(text, pattern)")).filter("surface_form IS NOT NULL")
     best = hits.groupBy("doc_id", "section", "pos", "canonical_id").agg(F.min_by(F.struct("skill_id", "name", "surface_form"), "prio").alias("h"))
     return best.select("doc_id", "section", "pos", "canonical_id", "h.*", F.when(F.col("section") == "skills", "explicit").otherwise("inferred").alias("evidence"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import small
+from ..session import salted_join, small
 
 
 def tfidf_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -21,7 +21,7 @@ def tfidf_cosine(left: DataFrame, right: DataFrame) -> DataFrame:
     weigh = lambda df: df.distinct().join(small(idf), "term")
     lw, rw = weigh(left), weigh(right)
     norm = lambda df: df.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    hit = lw.select(F.col("id").alias("left_id"), "role_id", "term", "w").join(rw.select(F.col("id").alias("right_id"), "role_id", "term"), ["role_id", "term"])
+    hit = salted_join(lw.select(F.col("id").alias("left_id"), "role_id", "term", "w"), rw.select(F.col("id").alias("right_id"), "role_id", "term"), ["role_id", "term"], "left_id")
     dot = hit.groupBy("left_id", "right_id", "role_id").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
     out = dot.join(norm(lw).select(F.col("id").alias("left_id"), F.col("n").alias("ln")), "left_id").join(norm(rw).select(F.col("id").alias("right_id"), F.col("n").alias("rn")), "right_id")
     return out.select("left_id", "right_id", "role_id", F.round(F.col("dot") / (F.col("ln") * F.col("rn")), 6).alias("cosine"))

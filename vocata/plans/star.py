@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import small, table
+from ..session import salted_join, small, table
 from . import model as m
 
 SCORES = ("readiness_score", "tech_score", "projects_score", "experience_score", "education_score", "market_score")
@@ -89,7 +89,8 @@ def dim_date(spark, sf):
     )
 
 
-def _fact(spark, sf, joined: bool) -> DataFrame:
+def _fact(spark, sf) -> DataFrame:
+    """Rows of the declared grain; ``copies`` is how often the joined grain repeats a row, once per requiring job."""
     c = m.candidates(spark, sf).select(F.col("id").alias("candidate_id"), F.col("target_role_id").alias("role_id"), "seniority_band", F.col("source").alias("candidate_source"))
     s = m.skills(spark, sf).select(F.col("id").alias("skill_id"), "canonical_id", F.col("canonical_name").alias("skill_name"))
     wanted = role_skills(spark, sf).select("role_id", F.col("skill_id").alias("canonical_id"), F.col("category_id").alias("skill_category"), F.col("importance").alias("skill_importance")).join(s, "canonical_id")
@@ -98,22 +99,26 @@ def _fact(spark, sf, joined: bool) -> DataFrame:
     wanted = wanted.join(market, ["role_id", "skill_id"], "left")
     have = m.pairs(spark, sf).withColumn("_has", F.lit(1))
     rows = c.join(small(wanted), "role_id").join(have, ["candidate_id", "skill_id"], "left").join(m.latest_readiness(spark, sf).select("candidate_id", "scored_at", *SCORES), "candidate_id", "left")
-    if joined:
-        rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.coalesce("n_jobs", F.lit(1)), F.lit(1)))))
     has, need = F.coalesce("_has", F.lit(0)), F.when(F.col("n_jobs").isNotNull(), 1).otherwise(0)
     return rows.select(
         "candidate_id", "skill_id", "role_id", F.to_date("scored_at").alias("date_id"), has.alias("has_skill"), need.alias("is_required_by_market"), F.when((need == 1) & (has == 0), 1).otherwise(0).alias("gap_flag"),
-        "skill_name", "skill_category", "skill_importance", *SCORES, "seniority_band", "candidate_source", "scored_at",
+        "skill_name", "skill_category", "skill_importance", *SCORES, "seniority_band", "candidate_source", "scored_at", F.greatest(F.coalesce("n_jobs", F.lit(1)), F.lit(1)).alias("copies"),
     )
 
 
 def fact_candidate_match(spark, sf):
-    return _fact(spark, sf, joined=False)
+    return _fact(spark, sf).drop("copies")
 
 
 def fact_candidate_match_joined(spark, sf):
-    """In parity grain, as sums per (candidate, skill): the repeated rows carry nothing else."""
-    return _fact(spark, sf, joined=True).groupBy("candidate_id", "skill_id", "role_id").agg(F.count("*").alias("n_rows"), F.sum("has_skill").alias("has_skill"), F.sum("gap_flag").alias("gap_hits"))
+    """In parity grain, as sums per (candidate, skill): the repeated rows carry nothing else, so they are counted, not written out."""
+    return _fact(spark, sf).groupBy("candidate_id", "skill_id", "role_id").agg(*_weighted("n_rows", has_skill="has_skill", gap_hits="gap_flag"))
+
+
+def _weighted(rows: str | None = None, **flags: str) -> list:
+    """Number of rows and sums of flags, each row counted as often as the joined grain repeats it."""
+    counted = [F.sum("copies").alias(rows)] if rows else []
+    return counted + [F.sum(F.col(c) * F.col("copies")).alias(n) for n, c in flags.items()]
 
 
 def skill_popularity(spark, sf):
@@ -161,13 +166,13 @@ def skill_gap(spark, sf):
 
 
 def fact_preview(spark, sf):
-    f = _fact(spark, sf, joined=True).groupBy("role_id", "skill_name").agg(F.sum("has_skill").alias("candidates_with_skill"), F.sum("is_required_by_market").alias("market_required_hits"), F.sum("gap_flag").alias("gap_hits"))
+    f = _fact(spark, sf).groupBy("role_id", "skill_name").agg(*_weighted(candidates_with_skill="has_skill", market_required_hits="is_required_by_market", gap_hits="gap_flag"))
     return f.orderBy(F.desc("gap_hits"), "role_id", "skill_name").limit(15)
 
 
 def recommendations(spark, sf):
     """One per candidate and missing role skill, with the importance of the gap as priority."""
-    f = _fact(spark, sf, joined=False).filter("has_skill = 0")
+    f = _fact(spark, sf).filter("has_skill = 0")
     return f.select("candidate_id", "skill_id", F.lit("skill_gap").alias("rec_type"), F.coalesce("skill_importance", F.lit("medium")).alias("priority"))
 
 
@@ -195,7 +200,7 @@ def match_results(spark, sf):
     job = m.jobs(spark, sf).select("job_id", "role_id").join(size, "job_id")
     c = m.candidates(spark, sf).select(F.col("id").alias("candidate_id"), F.col("target_role_id").alias("role_id"))
     have = m.pairs(spark, sf).join(c, "candidate_id")
-    hit = have.join(need.join(job.select("job_id", "role_id"), "job_id"), ["role_id", "skill_id"]).groupBy("candidate_id", "job_id").agg(F.count("*").alias("n_shared"))
+    hit = salted_join(have, need.join(job.select("job_id", "role_id"), "job_id"), ["role_id", "skill_id"], "candidate_id").groupBy("candidate_id", "job_id").agg(F.count("*").alias("n_shared"))
     out = hit.join(small(size), "job_id")
     return out.select("candidate_id", "job_id", F.round(100 * F.col("n_shared") / F.col("n_required"), 2).alias("skill_overlap_pct"), (F.col("n_required") - F.col("n_shared")).alias("missing_skill_count"))
 

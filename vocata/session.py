@@ -68,6 +68,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], by: str, salts: int = 8) -> DataFrame:
+    """Inner join whose keys are each spread over ``salts`` tasks by a hash of the column ``by`` of ``left``.
+
+    For keys that hold a large share of the rows on the left; ``right``, the smaller side, is repeated.
+    """
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    every = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(every, [*on, "_salt"]).drop("_salt")
+
+
 def parallelism(df: DataFrame) -> int:
     """Number of shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
