@@ -224,3 +224,27 @@ def test_salted_join(spark):
     right = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c")], "k long, v string")
     rows = lambda df: sorted(map(tuple, df.select("id", "k", "v").collect()))
     assert rows(salted_join(left, right, ["k"], "id")) == rows(left.join(right, "k"))
+
+
+def test_store(spark, tmp_path):
+    import pytest
+
+    from vocata.sources import store
+
+    folder = str(tmp_path / "store")
+    seed = {"skills": spark.createDataFrame([(1, "sql", "SQL", None, True, None, None)], store.SCHEMAS["skills"])}
+    assert store.create_tables(spark, folder, seed) == list(store.SCHEMAS) and store.create_tables(spark, folder) == []
+    assert spark.read.parquet(f"{folder}/skills.parquet").count() == 1 and spark.read.parquet(f"{folder}/candidates.parquet").count() == 0
+    assert store.create_tables(spark, folder, reset=True) == list(store.SCHEMAS) and spark.read.parquet(f"{folder}/skills.parquet").count() == 0
+    df = spark.createDataFrame([("a", "one\ntwo"), ("b", "three"), (None, "x"), ("c", None)], "k string, t string")
+    store.write_labels(df, str(tmp_path / "labels"))
+    assert spark.read.schema("k string, t string").json(str(tmp_path / "labels")).count() == 4
+    store.write_texts(df, "k", "t", str(tmp_path / "texts"))
+    assert sorted(map(tuple, spark.read.text(str(tmp_path / "texts"), wholetext=True).select("k", "value").collect())) == [("a", "one\ntwo\n"), ("b", "three\n")]
+    with pytest.raises(ValueError):
+        readers.resume_format(spark, "x/none.txt")
+    with pytest.raises(FileNotFoundError):
+        readers.resume_format(spark, f"{tmp_path}/none.docx")
+    with pytest.raises(ValueError):
+        readers.job_text(spark, "j", " \n")
+    assert readers.job_text(spark, "j", "Analyst").first()["raw_text"] == "Analyst"

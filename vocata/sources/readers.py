@@ -55,6 +55,24 @@ def resume_blocks(spark: SparkSession, path: str, pdf: Callable[[bytes], list[tu
     return files.mapInPandas(read, BLOCKS).withColumn("kind", block_kind(F.col("text"), F.col("style")))
 
 
+def resume_format(spark: SparkSession, path: str) -> str:
+    """Format of one resume file: raises ValueError for an unknown suffix, then FileNotFoundError if there is no such file."""
+    suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if suffix not in ("docx", "pdf"):
+        raise ValueError(f"no reader for the format of {path}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        raise FileNotFoundError(path)
+    return suffix
+
+
+def job_text(spark: SparkSession, jd_id: str, text: str) -> DataFrame:
+    """An advert given as text, as a row like those of :func:`job_texts`; a blank one raises ValueError."""
+    if not text or not text.strip():
+        raise ValueError("an advert without text")
+    return spark.createDataFrame([(jd_id, "inline", text, "txt")], "jd_id string, source_path string, raw_text string, file_format string")
+
+
 def job_texts(spark: SparkSession, path: str) -> DataFrame:
     """``(jd_id, source_path, raw_text, file_format)`` of the text files under ``path``."""
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
