@@ -248,3 +248,51 @@ def test_store(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.job_text(spark, "j", " \n")
     assert readers.job_text(spark, "j", "Analyst").first()["raw_text"] == "Analyst"
+
+
+def moved(df):
+    """Rows that the shuffles of the plan of ``df`` write."""
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        n, below = "shuffleRecordsWritten", node.children()
+        return (node.metrics().apply(n).value() if node.metrics().contains(n) else 0) + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    rows = df.collect()
+    return rows, walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_blocked(spark):
+    from vocata.session import blocked
+
+    left = spark.range(50).selectExpr("id AS a", "CASE WHEN id < 40 THEN 'hot' WHEN id < 48 THEN 'x' END AS k")
+    right = spark.range(30).selectExpr("id AS b", "CASE WHEN id < 20 THEN 'hot' WHEN id < 25 THEN 'y' WHEN id < 28 THEN 'x' END AS k")
+    one, two, n = blocked(left, right, "k", "a", "b", rows=7)
+    rows = lambda df: sorted((r["a"], r["b"]) for r in df.collect())
+    assert rows(one.join(two, ["k", "_a", "_b"])) == rows(left.join(right, "k"))
+    assert n == 6 * 3 + 2 * 1
+    assert blocked(left, right.filter("k = 'y'"), "k", "a", "b")[2] == 0
+
+
+def test_match_results_moves_no_pairs(spark, tmp_path):
+    """Every candidate shares skill 1 with every posting; skill sets of more than one mask word."""
+    from vocata.plans import star
+
+    at = ("timestamp'2020-01-01' AS created_at", "timestamp'2020-01-01' AS updated_at")
+    write = lambda df, n: df.write.parquet(f"{tmp_path}/{n}.parquet")
+    write(spark.range(1, 301).selectExpr("id", "'n' AS full_name", "'e' AS email", "'l' AS location", "CASE WHEN id > 295 THEN NULL WHEN id = 295 THEN 'none' ELSE 'r' END AS target_role_id", "'b' AS seniority_band", "'s' AS source", *at), "candidates")
+    has = [(c, s) for c in range(1, 301) for s in {1, c % 150 + 1}]
+    write(spark.createDataFrame(has, "candidate_id long, skill_id long"), "candidate_skills")
+    write(spark.range(1, 151).selectExpr("id", "concat('s', id) AS canonical_id", "concat('S', id) AS canonical_name", "id AS taxonomy_id", *at), "skills")
+    wants = {j: sorted({1, *range(j * 3 + 2, j * 3 + 5)}) for j in range(48)}
+    ads = [(f"j{j}", "r", "t", "c", "b", 1, [f"s{s}" for s in w], ["s1"], "2020") for j, w in wants.items()]
+    write(spark.createDataFrame(ads, "jd_id string, target_role_id string, job_title string, company string, seniority_band string, min_years_experience int, required_skills array<string>, preferred_skills array<string>, generated_at string"), "synthetic_jd")
+    rows, n = moved(star.match_results(spark, str(tmp_path)))
+    got = {(r["candidate_id"], r["job_id"]): (r["skill_overlap_pct"], r["missing_skill_count"]) for r in rows}
+    both = {(c, f"j{j}"): len({1, c % 150 + 1} & {*w}) for c in range(1, 295) for j, w in wants.items()}
+    assert got == {k: (round(100 * v / 4, 2), 4 - v) for k, v in both.items()} and len(rows) == len(got)
+    assert n < len(got) / 10, f"{n} rows moved for {len(got)} pairs"
