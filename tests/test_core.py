@@ -296,3 +296,58 @@ def test_match_results_moves_no_pairs(spark, tmp_path):
     both = {(c, f"j{j}"): len({1, c % 150 + 1} & {*w}) for c in range(1, 295) for j, w in wants.items()}
     assert got == {k: (round(100 * v / 4, 2), 4 - v) for k, v in both.items()} and len(rows) == len(got)
     assert n < len(got) / 10, f"{n} rows moved for {len(got)} pairs"
+
+
+def test_match_tfidf_moves_no_pairs(spark, tmp_path):
+    """Every resume shares term s1 with every posting of its role."""
+    import math
+
+    from vocata.operators.similarity import tfidf_cosine
+
+    cv = {f"c{c}": sorted({"s1", f"s{c % 40}", f"s{c % 7 + 40}"}) for c in range(300)}
+    ad = {f"j{j}": sorted({"s1", *(f"s{x}" for x in range(j, j + 3))}) for j in range(45)} | {"j0": ["s1"]}
+    role = lambda k: {"c7": "other", "c8": None, "j9": None}.get(k, "r")
+    write = lambda rows, kinds, n: spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/{n}.parquet")
+    write([(k, role(k), v, "n", "2020") for k, v in cv.items()], "resume_id string, target_role_id string, skills array<string>, name string, generated_at string", "synthetic_resume")
+    write([(k, role(k), "t", "c", "b", 1, v, [], "2020") for k, v in ad.items()] + [("empty", "r", "t", "c", "b", 1, [], ["s1"], "2020")], "jd_id string, target_role_id string, job_title string, company string, seniority_band string, min_years_experience int, required_skills array<string>, preferred_skills array<string>, generated_at string", "synthetic_jd")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(threshold)
+    spark.conf.set(threshold, -1)
+    try:
+        rows, n = moved(pipeline.match_tfidf(spark, str(tmp_path)))
+    finally:
+        spark.conf.set(threshold, usual)
+    got = {r["resume_id"]: (r["best_cosine"], r["n_jobs"]) for r in rows}
+    df = {t: sum(t in v for v in [*cv.values(), *ad.values()]) for v in [*cv.values(), *ad.values()] for t in v}
+    w2 = {t: math.log(1 + 345 / k) ** 2 for t, k in df.items()}
+    dot = lambda a, b: sum(w2[t] for t in {*a} & {*b})
+    best = {k: max(dot(v, x) / math.sqrt(dot(v, v) * dot(x, x)) for j, x in ad.items() if role(j) == "r") for k, v in cv.items() if role(k) == "r"}
+    assert {k: v[1] for k, v in got.items()} == dict.fromkeys(best, 44) and all(abs(got[k][0] - v) < 1e-6 for k, v in best.items())
+    assert n < 300 * 44 / 4, f"{n} rows moved"
+    side = lambda d: spark.createDataFrame([(k, role(k), t) for k, v in d.items() for t in v], "id string, role_id string, term string")
+    pairs = tfidf_cosine(side(cv), side(ad)).groupBy("left_id").agg(F.max("cosine"), F.count("*")).collect()
+    assert got == {r[0]: (r[1], r[2]) for r in pairs}
+
+
+def test_tfidf_scores_by_parts(monkeypatch):
+    """Parts of the right side, long rows and many near equal scores give what a plain sum gives."""
+    import numpy as np
+    import pyarrow as pa
+
+    from vocata.operators import similarity as s
+
+    rng = np.random.default_rng(7)
+    w2 = rng.uniform(0.5, 90, 6000)
+    draw = lambda n, top, most: [np.sort(rng.choice(top, rng.integers(1, most), replace=False)) for _ in range(n)]
+    left, right = draw(150, 40, 9) + [np.arange(5990, 6000)], draw(400, 30, 7) + [np.arange(20, 5000)]
+    table = lambda rows: pa.table({"id": [*range(len(rows))], "t": [r.tolist() for r in rows], "w2": [w2[r].tolist() for r in rows]})
+    want = {}
+    for i, a in enumerate(left):
+        dots = np.array([w2[np.intersect1d(a, b)].sum() for b in right])
+        if dots.any():
+            want[i] = (round((dots / np.sqrt(w2[a].sum() * np.array([w2[b].sum() for b in right]))).max(), 9), np.count_nonzero(dots))
+    for cells in (1 << 24, 500):
+        monkeypatch.setattr(s, "CELLS", cells)
+        got = s._best(table(left), table(right)).to_pylist()
+        assert {r["id"]: (round(r["best"], 9), r["n"]) for r in got} == want
+    assert not s._best(table(left).slice(0, 0), table(right)).num_rows and not s._best(table(left), table(right).slice(0, 0)).num_rows
