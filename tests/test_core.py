@@ -298,6 +298,48 @@ def test_match_results_moves_no_pairs(spark, tmp_path):
     assert n < len(got) / 10, f"{n} rows moved for {len(got)} pairs"
 
 
+def test_match_results_writes_no_block_twice(spark, tmp_path, monkeypatch):
+    """Blocks of either side meet without being moved for it, and rows of a posting with equal overlap follow one another."""
+    from itertools import groupby
+
+    from vocata.plans import star
+
+    at = ("timestamp'2020-01-01' AS created_at", "timestamp'2020-01-01' AS updated_at")
+    write = lambda df, n: df.write.parquet(f"{tmp_path}/{n}.parquet")
+    role = lambda i: "pqr"[i % 3]
+    write(spark.range(90).selectExpr("id", "'n' AS full_name", "'e' AS email", "'l' AS location", "substr('pqr', int(id % 3) + 1, 1) AS target_role_id", "'b' AS seniority_band", "'s' AS source", *at), "candidates")
+    has = {c: {63, c % 64, c * 7 % 70} for c in range(90)}
+    write(spark.createDataFrame([(c, s) for c, v in has.items() for s in [*v, 63]], "candidate_id long, skill_id long"), "candidate_skills")
+    write(spark.range(70).selectExpr("id", "concat('s', id) AS canonical_id", "concat('S', id) AS canonical_name", "id AS taxonomy_id", *at), "skills")
+    every = {*range(70)}
+    wants = {j: every if j < 3 else {63, j, 64 + j % 6} if j % 2 else {j, j + 1, j + 2} for j in range(40)}
+    ads = [(f"j{j}", role(j), "t", "c", "b", 1, [f"s{s}" for s in [*w, *w]], ["s1"], "2020") for j, w in wants.items()]
+    write(spark.createDataFrame(ads, "jd_id string, target_role_id string, job_title string, company string, seniority_band string, min_years_experience int, required_skills array<string>, preferred_skills array<string>, generated_at string"), "synthetic_jd")
+    pct = lambda n, k: (20000 * n + k) // (2 * k) / 100
+    want = sorted((c, f"j{j}", pct(n, len(w)), len(w) - n) for c, v in has.items() for j, w in wants.items() if role(c) == role(j) and (n := len(v & w)))
+    rows, n = moved(star.match_results(spark, str(tmp_path)))
+    assert sorted(map(tuple, rows)) == want
+    assert n == 0, f"{n} rows moved to meet"
+    runs = [k for k, _ in groupby(rows, lambda r: r[1:])]
+    assert len(runs) == len({*runs})
+    monkeypatch.setattr(star, "TILE", (20, 11))
+    df = star.match_results(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 5 * 4 and sorted(map(tuple, df.collect())) == want
+
+
+def test_tiled(spark):
+    from vocata.session import tiled
+
+    left = spark.range(50).selectExpr("id AS a", "CASE WHEN id < 40 THEN 'hot' WHEN id < 48 THEN 'x' END AS k")
+    right = spark.range(30).selectExpr("id AS b", "CASE WHEN id < 20 THEN 'hot' WHEN id < 25 THEN 'y' WHEN id < 28 THEN 'x' END AS k")
+    want = sorted((r["a"], r["b"]) for r in left.join(right, "k").collect())
+    for most, parts in ((99, 8 * 5), (10, 4 * 3)):
+        df = tiled(left, right, "k", ("a", "b"), (50, 30), (7, 6), most)
+        assert df.rdd.getNumPartitions() == parts
+        assert sorted((x["a"], y["b"]) for r in df.collect() for x in r["l"] for y in r["r"]) == want
+    assert not tiled(left, right.filter("k = 'y'"), "k", ("a", "b"), (50, 0), (7, 6)).collect()
+
+
 def test_match_tfidf_moves_no_pairs(spark, tmp_path):
     """Every resume shares term s1 with every posting of its role."""
     import math
